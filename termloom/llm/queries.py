@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import cooccur, frequency, mixing, tokens
+from termloom.llm import cooccur, encoding, frequency, mixing, tokens
 from termloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,28 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return store.scores(total, least).select(F.col("item_a").alias("cui_a"), F.col("item_b").alias("cui_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def _repairs(spark: SparkSession, d: str) -> DataFrame:
+    c, p = read(spark, d, "cuisourceinfo"), read(spark, d, "passages")
+    texts = [c.select(F.col("str").alias("text")), c.select(F.col("norm").alias("text")), p.select("text"), read(spark, d, "concepts").select(F.col("preferred_name").alias("text"))]
+    return encoding.corpus_repairs(texts)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose text was decoded wrongly, wholly or in part."""
+    fixes = _repairs(spark, d)
+    c = encoding.affected(read(spark, d, "cuisourceinfo"), "ord", "str", fixes)
+    p = encoding.affected(read(spark, d, "passages"), "passage_id", "text", fixes)
+    return c.select(F.lit("cuisourceinfo").alias("table_name"), F.col("ord").alias("row_id")).unionByName(p.select(F.lit("passages").alias("table_name"), F.col("passage_id").alias("row_id")))
+
+
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """The affected rows with their text as it was and as restored."""
+    fixes = _repairs(spark, d)
+    c = encoding.repaired(read(spark, d, "cuisourceinfo"), "ord", "str", fixes).select(F.lit("cuisourceinfo").alias("table_name"), F.col("ord").alias("row_id"), "text", "repaired")
+    p = encoding.repaired(read(spark, d, "passages"), "passage_id", "text", fixes).select(F.lit("passages").alias("table_name"), F.col("passage_id").alias("row_id"), "text", "repaired")
+    return c.unionByName(p)
+
+
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     """(field, term, occurrences, records) of both fields."""
     held = frequency.latest_counts(read(spark, d, "termfrequency"))
