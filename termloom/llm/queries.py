@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import cooccur, encoding, frequency, mixing, tokens
+from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, tokens
 from termloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,20 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return store.scores(total, least).select(F.col("item_a").alias("cui_a"), F.col("item_b").alias("cui_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p4_normal(spark: SparkSession, d: str) -> DataFrame:
+    """Values not in their consistent form, with it; rows decoded wrongly are left out."""
+    c, e = read(spark, d, "cuisourceinfo"), read(spark, d, "entities")
+    fixes = _repairs(spark, d)
+    wrong = encoding.affected(c, "ord", "str", fixes)
+    row = lambda df, table, field: df.select(F.lit(table).alias("table_name"), F.lit(field).alias("field"), F.col(df.columns[0]).alias("row_id"), "text", "normal")
+    of = lambda field: row(lookalike.changed(c, "ord", field).join(wrong, "ord", "left_anti"), "cuisourceinfo", field)
+    return of("str").unionByName(of("norm")).unionByName(row(lookalike.changed(e, "entity_id", "matched_text"), "entities", "matched_text"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_normal(spark, d).select("table_name", "field", "row_id")
+
+
 def _repairs(spark: SparkSession, d: str) -> DataFrame:
     c, p = read(spark, d, "cuisourceinfo"), read(spark, d, "passages")
     texts = [c.select(F.col("str").alias("text")), c.select(F.col("norm").alias("text")), p.select("text"), read(spark, d, "concepts").select(F.col("preferred_name").alias("text"))]
