@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, tokens
+from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, sentences, tokens
 from termloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_normal(spark, d).select("table_name", "field", "row_id")
 
 
+def p5_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence unit with its position; passages decoded wrongly are left out."""
+    p, s = read(spark, d, "passages"), read(spark, d, "sentences")
+    wrong = encoding.affected(p, "passage_id", "text", _repairs(spark, d))
+    row = lambda df, table: df.select(F.lit(table).alias("table_name"), F.col(df.columns[0]).alias("row_id"), "start_pos", "unit")
+    of_p = sentences.sentences(p, "passage_id", "text").join(wrong, "passage_id", "left_anti")
+    return row(of_p, "passages").unionByName(row(sentences.sentences(s, "sent_id", "text"), "sentences"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_units(spark, d).select("table_name", "row_id", "start_pos")
+
+
 def _repairs(spark: SparkSession, d: str) -> DataFrame:
     c, p = read(spark, d, "cuisourceinfo"), read(spark, d, "passages")
     texts = [c.select(F.col("str").alias("text")), c.select(F.col("norm").alias("text")), p.select("text"), read(spark, d, "concepts").select(F.col("preferred_name").alias("text"))]
