@@ -7,12 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, sentences, tokens
+from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, pii, sentences, tokens
 from termloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of personal information with its place."""
+    row = lambda df, table: df.select(F.lit(table).alias("table_name"), F.col(df.columns[0]).alias("row_id"), "pii_type", "start_pos", "end_pos")
+    p, d_ = read(spark, d, "passages"), read(spark, d, "documents")
+    return row(pii.cases(p, "passage_id", "text"), "passages").unionByName(row(pii.cases(d_, "doc_id", "text"), "documents"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_cases(spark, d).select("table_name", "row_id", "pii_type", "start_pos")
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with placeholders for its personal information."""
+    from termloom.session import spread
+
+    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", pii.redacted(F.col("text")).alias("text"))
+
+
 def p2_store(spark: SparkSession, d: str) -> tuple[cooccur.PairStore, int, int]:
     entities = read(spark, d, "entities")
     total = entities.agg(F.count_distinct("docid")).first()[0]
