@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, pii, sentences, tokens
+from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, pii, sentences, subjects, tokens
 from termloom.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_report(spark, d).where("short").select("source")
 
 
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Assigned subjects with their score and calibrated probability."""
+    return subjects.assign(read(spark, d, "documents"), read(spark, d, "subject_labels"))[0].select("doc_id", "subject", F.round("score", 4).alias("score"), F.round("probability", 4).alias("probability"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_scores(spark, d).select("doc_id", "subject")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and k not in ("p2_store",)}
 
