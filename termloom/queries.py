@@ -1,16 +1,88 @@
-"""Queries of the core and, where SQL can say it, their SQL."""
+"""Queries of the core and, where SQL can say it, their SQL.
+
+The tables of the data folder stand for the engine's own: ``cuisourceinfo`` for dictionary names,
+``concepts`` for preferred names, ``passages`` for loaded documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from termloom.operators import nested
+from termloom.functions import text as T
+from termloom.operators import abbreviation, analytics, context, match, negation, nested, rank
+from termloom.operators import dictionary as D
+from termloom.plans.pipeline import Settings, annotate
 from termloom.session import read
+from termloom.sources import documents, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Semantic types of the derived type table, by place (the last digits of a cui choose one).
+TYPES = (("T047", "dsyn"), ("T184", "sosy"), ("T121", "phsu"), ("T059", "lbpr"), ("T061", "topp"), ("T033", "fndg"), ("T191", "neop"), ("T079", "tmco"))
+RELATIONS = (("A", "F"), ("N", "O"), ("R", "1-URGENT"))
+TRIGGERS = ((("no",), "nega"), (("denies",), "nega"), (("was", "ruled", "out"), "negb"), (("no", "change"), "pnega"), (("but",), "conj"))
+
+
+# --- derived inputs ----------------------------------------------------------------------------
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "cuisourceinfo").distinct()
+
+
+def _conso(spark: SparkSession, d: str) -> DataFrame:
+    n = _names(spark, d)
+    return n.select("ord", "cui", "sui", "str", "sab", "tty", F.lit("ENG").alias("lat"), F.when(F.col("tty") == "PT", "P").otherwise("S").alias("ts"), F.lit("PF").alias("stt"), F.lit("N").alias("suppress"))
+
+
+def _types(spark: SparkSession, d: str) -> DataFrame:
+    n = F.substring("cui", -3, 3).cast("int") % len(TYPES)
+    table = F.array(*[F.struct(F.lit(t).alias("tui"), F.lit(a).alias("abbrev")) for t, a in TYPES])
+    return read(spark, d, "concepts").select("cui", table[n].alias("t")).select("cui", "t.tui", "t.abbrev")
+
+
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return match.distinct_passages(read(spark, d, "passages").select("passage_id", "docid", "fieldid", "base_offset", "text")).where("text is not null")
+
+
+def _sentences(spark: SparkSession, d: str) -> DataFrame:
+    return match.sentence_rows(_passages(spark, d))
+
+
+def _mentions(spark: SparkSession, d: str) -> DataFrame:
+    return match.matches(match.candidates(_sentences(spark, d)), match.dictionary(_names(spark, d)))
+
+
+def _lexicon(spark: SparkSession) -> DataFrame:
+    return negation.lexicon(spark, [(list(p), k) for p, k in TRIGGERS])
+
+
+def _negated(spark: SparkSession, d: str) -> DataFrame:
+    return negation.negated(_mentions(spark, d), _sentences(spark, d), _lexicon(spark))
+
+
+def _full(spark: SparkSession, d: str) -> DataFrame:
+    m = _negated(spark, d).withColumn("pos", F.lit(""))
+    m = D.preferred(m, read(spark, d, "concepts")).join(D.semantic_types(_types(spark, d)), "cui", "left").join(D.sources(_names(spark, d)), "cui", "left")
+    return m
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").where("text is not null")
+    one = F.regexp_replace("text", r"[\t\r\n|]", " ")
+    return docs.select(F.lit("f").alias("name"), F.col("doc_id").alias("line_no"), F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.substring(one, 1, 20), F.lit("\t"), F.expr("substring(regexp_replace(text, '[\\\\t\\\\r\\\\n|]', ' '), 21)")).alias("content"))
+
+
+# --- queries -----------------------------------------------------------------------------------
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline over all passages: mentions with assertion, after subsumption."""
+    return annotate(_passages(spark, d), _names(spark, d), Settings()).select("docid", "passage_id", "start", "length", "term", "cui", "concept_string", "negated")
+
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every readable child of the nested records with its link to the parent."""
@@ -22,9 +94,383 @@ def p3_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(read(spark, d, "annotation_records"), "payload")
 
 
+def d3_names(spark: SparkSession, d: str) -> DataFrame:
+    return D.names(_conso(spark, d), ("LEXA", "CLINT")).select("ord", "cui", "norm", "sab")
+
+
+def d5_preferred_name(spark: SparkSession, d: str) -> DataFrame:
+    return D.preferred_names(_conso(spark, d))
+
+
+def d6_semtypes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _types(spark, d).select(F.array("cui", "tui").alias("f"))
+    known = spark.createDataFrame([t for t in TYPES if t[1] != "tmco"], "tui string, abbrev string")
+    return D.types(rows, known)
+
+
+def d7_treecodes(spark: SparkSession, d: str) -> DataFrame:
+    codes = read(spark, d, "concepts").where("substring(cui, -1, 1) in ('1', '2')").select(F.substring("cui", 2, 8).cast("bigint").alias("ord"), F.array(F.col("cui"), *[F.lit("")] * 7, F.lit("MN"), F.lit("MSH"), F.concat(F.lit("C"), F.substring("cui", -2, 2), F.lit(".1")), F.lit("N"), F.lit("")).alias("f"))
+    msh = _conso(spark, d).withColumn("sab", F.when(F.col("sab") == "LEXA", "MSH").otherwise(F.col("sab")))
+    return D.treecodes(msh, codes).select("ord", "term", "treecode")
+
+
+def d10_source_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = _names(spark, d)
+    f = n.select(F.array(*[F.lit("")] * 11, F.col("sab")).alias("f"))
+    return D.source_counts(f, ("LEXA", "CLINT", "NOSUCH"))
+
+
+def d11_relations(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RELATIONS), "sab string, value string")
+    x = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
+    return D.keep_relations(x, rules, F.col("l_returnflag"), F.col("l_linestatus"), F.col("l_linestatus")).select("l_orderkey", "l_linenumber")
+
+
+def d12_stats(spark: SparkSession, d: str) -> DataFrame:
+    return D.stats({"names": _names(spark, d), "concepts": read(spark, d, "concepts"), "types": _types(spark, d)})
+
+
+def q2_cuis(spark: SparkSession, d: str) -> DataFrame:
+    return D.cuis_for_terms(read(spark, d, "concepts"), "preferred_name", _names(spark, d)).select("preferred_name", F.array_join("cuis", ",").alias("cuis"))
+
+
+def q4_known(spark: SparkSession, d: str) -> DataFrame:
+    return D.known_terms(read(spark, d, "entities").where("matched_text is not null"), "matched_text", _names(spark, d))
+
+
+def q5_strings(spark: SparkSession, d: str) -> DataFrame:
+    n = _names(spark, d)
+    return D.concept_strings(n.select("norm", "cui").distinct(), n).select("norm", "cui", "concept_string", F.size("strings").alias("n_strings"))
+
+
+def q6_preferred(spark: SparkSession, d: str) -> DataFrame:
+    return D.preferred(read(spark, d, "evidence").select("cui").distinct(), read(spark, d, "concepts")).select("cui", "preferred_name")
+
+
+def q7_types(spark: SparkSession, d: str) -> DataFrame:
+    return D.semantic_types(_types(spark, d)).select("cui", F.array_join("semantic_types", ",").alias("semantic_types"))
+
+
+def q8_sources(spark: SparkSession, d: str) -> DataFrame:
+    return D.sources(_names(spark, d)).select("cui", F.array_join("sources", ",").alias("sources"))
+
+
+def q10_lookup(spark: SparkSession, d: str) -> DataFrame:
+    terms = read(spark, d, "concepts").select(F.col("preferred_name").alias("query"))
+    r = D.lookup(terms, "query", _names(spark, d), read(spark, d, "concepts"), _types(spark, d), {"LEXA", "CLINT"}, {"T047", "T184"})
+    return r.select("query", "cui", "preferred_name", "matched", "sab", "tty", F.array_join("semantic_types", ",").alias("semantic_types"))
+
+
+def s2_lines(spark: SparkSession, d: str) -> DataFrame:
+    files = read(spark, d, "documents").where("text is not null").select(F.col("docid").alias("name"), F.col("doc_id").alias("k"), F.col("text").alias("content"))
+    lines = files.select("k", F.posexplode(T.read_lines(F.col("content"))).alias("line_no", "content")).withColumn("name", F.col("k").cast("string"))
+    return lines.select("k", "line_no", "content")
+
+
+def s5_title_abstract(spark: SparkSession, d: str) -> DataFrame:
+    return documents.of_title_abstract(_lines(spark, d)).select("docid", "passage_no", "fieldid", "base_offset", "text")
+
+
+def s8_pubtator(spark: SparkSession, d: str) -> DataFrame:
+    p = _passages(spark, d).select("passage_id", F.regexp_replace("text", r"[\r\n|]", " ").alias("t"))
+    lines = p.select(F.lit("f").alias("name"), F.col("passage_id").alias("line_no"), F.concat((F.col("passage_id") / 4).cast("bigint").cast("string"), F.when(F.col("passage_id") % 2 == 0, "|t|").otherwise("|a|"), F.col("t")).alias("content"))
+    return documents.of_pubtator(lines).select("docid", "passage_no", "fieldid", "base_offset", "text")
+
+
+def t1_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("passage_id", "sent_idx", "sent_start", "sent")
+
+
+def t2_blanklines(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(T.blank_line_blocks(F.col("text"))).alias("i", "s")).select("doc_id", "i", "s.start", "s.text")
+
+
+def t3_lines(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("i", "s")).select("doc_id", "i", "s.start", "s.text")
+
+
+def t5_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return T.explode_tokens(_passages(spark, d), "text", ["passage_id"])
+
+
+def t7_token_classes(spark: SparkSession, d: str) -> DataFrame:
+    return t5_tokens(spark, d).groupBy(T.token_class(F.col("token")).alias("token_class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def t9_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return _names(spark, d).select("ord", T.normalize(F.col("str")).alias("normal"))
+
+
+def t12_number_format(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").select("p_partkey", T.number_format(F.col("p_retailprice")).alias("price"))
+
+
+def e1_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return match.candidates(_sentences(spark, d)).select("passage_id", "start", "length", "term")
+
+
+def e2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d).select("passage_id", "start", "length", "term", "cui", "concept_string", "window_no")
+
+
+def e4_excluded(spark: SparkSession, d: str) -> DataFrame:
+    out = _names(spark, d).where("substring(cui, -1, 1) = '3'").select("cui", "norm").distinct()
+    m = match.matches(match.candidates(_sentences(spark, d)), match.dictionary(_names(spark, d)), out)
+    return m.select("passage_id", "start", "length", "cui")
+
+
+def e5_custom(spark: SparkSession, d: str) -> DataFrame:
+    own = spark.createDataFrame([("U0000001", "Dose"), ("U0000002", "The Margin")], "cui string, term string")
+    m = match.matches(match.candidates(_sentences(spark, d)), match.dictionary(_names(spark, d), own))
+    return m.where("is_custom = 1").select("passage_id", "start", "length", "cui", "concept_string")
+
+
+def e10_restrict(spark: SparkSession, d: str) -> DataFrame:
+    m = match.restrict(_mentions(spark, d), _types(spark, d), _names(spark, d).select("cui", "sab").distinct(), ("dsyn", "sosy", "neop"), ("LEXA",))
+    return m.select("passage_id", "start", "length", "cui")
+
+
+def e11_subsumption(spark: SparkSession, d: str) -> DataFrame:
+    return match.drop_subsumed(_mentions(spark, d)).select("passage_id", "start", "length", "term", "cui")
+
+
+def e12_precision(spark: SparkSession, d: str) -> DataFrame:
+    return match.precise(match.drop_subsumed(_mentions(spark, d)), _names(spark, d)).select("passage_id", "start", "length", "cui")
+
+
+def a1_abbreviations(spark: SparkSession, d: str) -> DataFrame:
+    return abbreviation.definitions(_passages(spark, d))
+
+
+def a4_propagation(spark: SparkSession, d: str) -> DataFrame:
+    m = _mentions(spark, d)
+    defs = m.where("passage_id % 3 = 0 and length > 8").select("passage_id", F.lit("Dose").alias("short"), F.lit(0).alias("short_start"), F.col("term").alias("long"), F.col("start").alias("long_start")).distinct()
+    return abbreviation.propagated(m, defs, _passages(spark, d)).select("passage_id", "start", "length", "term", "cui")
+
+
+def a6_user_acronyms(spark: SparkSession, d: str) -> DataFrame:
+    first = read(spark, d, "concepts").agg(F.min(F.struct("cui", "preferred_name")).alias("m")).select(F.lit("pH").alias("acronym"), F.col("m.preferred_name").alias("long_form"))
+    a = abbreviation.user_acronyms(first, match.dictionary(_names(spark, d)))
+    return abbreviation.user_mentions(_passages(spark, d), a).select("passage_id", "start", "length", "term", "cui", "score")
+
+
+def n1_meta_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return _sentences(spark, d).select("passage_id", "sent_idx", F.posexplode(negation.meta_tokens(T.token_texts(F.lower("sent")), ("no", "denies", "but"))).alias("i", "w"))
+
+
+def n3_triggers(spark: SparkSession, d: str) -> DataFrame:
+    return negation.longest(negation.triggers(_sentences(spark, d), _lexicon(spark))).select("passage_id", "sent_idx", "pos", "size", "kind")
+
+
+def n5_negation(spark: SparkSession, d: str) -> DataFrame:
+    return _negated(spark, d).select("passage_id", "start", "length", "cui", "negated")
+
+
+def c3_context(spark: SparkSession, d: str) -> DataFrame:
+    m = context.detected(match.drop_subsumed(_mentions(spark, d)), _sentences(spark, d))
+    return m.select("passage_id", "start", "length", "cui", "negated", "assertion", "temporality", "experiencer")
+
+
+def c6_context_passage(spark: SparkSession, d: str) -> DataFrame:
+    m = context.detected(match.drop_subsumed(_mentions(spark, d)), _sentences(spark, d), own_sentence=False)
+    return m.select("passage_id", "start", "length", "cui", "negated", "assertion", "temporality", "experiencer")
+
+
+def f1_term_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return rank.term_frequency(_mentions(spark, d)).select("docid", "cui", "frequency", "title_flag")
+
+
+def f2_mmi_score(spark: SparkSession, d: str) -> DataFrame:
+    tf = rank.term_frequency(_mentions(spark, d))
+    s = rank.score(F.col("frequency"), F.col("average_value"), F.length("cui") % 7, F.col("title_flag") == 1)
+    return tf.select("docid", "cui", F.round(s, 6).alias("score"))
+
+
+def f3_mmi_lines(spark: SparkSession, d: str) -> DataFrame:
+    m = _full(spark, d)
+    tf = rank.term_frequency(m).withColumn("codes", F.array(F.lit("C1.2")))
+    occ = m.groupBy("docid", "cui").agg(F.array_sort(F.collect_list(F.struct("passage_id", "start", "length", "concept_string", F.coalesce("fieldid", F.lit("text")).alias("fieldid"), "window_no", "term", "pos", F.col("negated").cast("int").alias("negated")))).alias("occurrences"))
+    x = tf.join(occ, ["docid", "cui"]).join(D.semantic_types(_types(spark, d)), "cui", "left").withColumn("score", rank.score(F.col("frequency"), F.col("average_value"), F.lit(2), F.col("title_flag") == 1))
+    x = D.preferred(x, read(spark, d, "concepts")).withColumn("semantic_types", F.coalesce("semantic_types", F.array()))
+    return rank.mmi_lines(x)
+
+
+def f4_hash_order(spark: SparkSession, d: str) -> DataFrame:
+    return rank.hash_order(_names(spark, d), ["cui"], "sab", "ord")
+
+
+def f5_json(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.json_entities(_full(spark, d))
+
+
+def f6_brat(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.brat_lines(match.drop_subsumed(_mentions(spark, d)))
+
+
+def f7_cuilist(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.cui_list(_mentions(spark, d))
+
+
+def f8_ranked(spark: SparkSession, d: str) -> DataFrame:
+    tf = rank.term_frequency(_mentions(spark, d)).withColumn("score", F.col("frequency").cast("double"))
+    return sinks.ranked_tsv(tf).select("docid", "cui", "rank", "score")
+
+
+def f9_full(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.full_text(_negated(spark, d))
+
+
+def f10_rows(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.mention_rows(_negated(spark, d)).select("document", "cui", "term", "negated", "start", "end")
+
+
+def f11_star(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.star_tables(_negated(spark, d))["documents"]
+
+
+def f12_evidence(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.normalized_tables(_full(spark, d))["concept_sources"]
+
+
+def g1_top_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.corpus_summary(_mentions(spark, d), 25)
+
+
+def g2_doc_stats(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.document_stats(_negated(spark, d))
+
+
+def g3_cohort(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "concepts").where("substring(cui, -1, 1) in ('3', '7')").select("cui")
+    return analytics.cohort(_passages(spark, d), _negated(spark, d), targets)
+
+
+def g6_evidence_top(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.top_concepts(read(spark, d, "evidence").dropDuplicates(["evidence_id"]), read(spark, d, "concepts"), 10)
+
+
+def g7_agreement(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "entities").where("docid is not null")
+    gold = e.join(read(spark, d, "evidence").select("entity_id", "cui"), "entity_id").select("docid", "cui")
+    return analytics.agreement(_mentions(spark, d).where("docid is not null").select("docid", "cui"), gold, ["docid", "cui"]).select("tp", "fp", "fn", F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
+
+
+def g8_differences(spark: SparkSession, d: str) -> DataFrame:
+    e = read(spark, d, "entities").dropDuplicates(["entity_id"])
+    later = e.where("entity_id % 7 <> 0").withColumn("negated", F.when(F.col("entity_id") % 5 == 0, 1).otherwise(F.col("negated")))
+    return analytics.differences(e, later, ["entity_id"], ["negated", "temporality"])
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_schema": p3_schema}
+    return {k: f for k, f in globals().items() if (k == "flagship" or (len(k) > 2 and k[0] in "acdefgnpqst" and k[1].isdigit()))}
+
+
+# --- SQL ---------------------------------------------------------------------------------------
+
+_SP = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_SEP = r"""~!@#$%^&*()_+\-=|\\<>?/,.`'';:\[\]{}"\x09-\x0d\x1c-\x20\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"""
+_EDGE = r"[0-9A-Za-z\x{370}-\x{377}\x{37a}-\x{37e}\x{384}-\x{38a}\x{38c}\x{38e}-\x{3a1}\x{3a3}-\x{3ff}]"
+_WORDS = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
+
+
+def _guard(x: str) -> str:
+    return rf"""regexp_replace({x}, '(^|[{_SP}\x01])((?i:{_WORDS})|\p{{L}})\.([.?!]*)(["'')\]]*)\x01([{_SP}]+)\x01', '\1\2.\3\4\5', 'g')"""
+
+
+def _normal(x: str) -> str:
+    greek = ", ".join("'" + k.replace("'", "''") + "': '" + v + "'" for k, v in T.greek_names().items())
+    spelled = f"(case when regexp_matches({x}, '[\\x{{370}}-\\x{{3ff}}]') then array_to_string(list_transform(string_split({x}, ''), lambda c: coalesce(map {{{greek}}}[c], c)), '') else {x} end)"
+    tag = r"'^\[(?:X|V|D|M|EDTA|SO|Q)\]'"
+    plain = f"(case when regexp_matches({spelled}, {tag}) then regexp_replace({spelled}, {tag}, '') else trim(regexp_replace({spelled}, ' +', ' ', 'g'), ' ') end)"
+    words = rf"list_filter(regexp_split_to_array(lower({plain}), '[ \t\n\r\f$|~]+'), lambda w: w <> '')"
+    one = r"case when w like '%''s' then regexp_replace(w, '([\p{L}\p{N}])''s$', '\1') else regexp_replace(w, 's''$', 's') end"
+    return f"array_to_string(list_transform({words}, lambda w: {one}), ' ')"
+
+
+_P = "p as (select passage_id, any_value(docid) docid, any_value(fieldid) fieldid, coalesce(any_value(base_offset), 0) base_offset, any_value(text) as text from passages where text is not null group by 1)"
+_NAMES = "nm as (select distinct * from cuisourceinfo)"
+_TYPES_SQL = "ty as (select cui, ([" + ", ".join(f"'{t}'" for t, _ in TYPES) + f"])[cast(right(cui, 3) as int) % {len(TYPES)} + 1] tui, ([" + ", ".join(f"'{a}'" for _, a in TYPES) + f"])[cast(right(cui, 3) as int) % {len(TYPES)} + 1] abbrev from concepts)"
+_CUTS = rf"""regexp_replace(text, '([.?!]+)(["'')\]]*)([{_SP}]+)(["''(\[]*[A-Z0-9])', '\1\2' || chr(1) || '\3' || chr(1) || '\4', 'g')"""
+_SENT = f"""{_P},
+s0 as (select passage_id, docid, fieldid, base_offset, string_split({_guard(_guard(_CUTS))}, chr(1)) parts from p),
+s1 as (select passage_id, docid, fieldid, base_offset, unnest(parts) part, generate_subscripts(parts, 1) k from s0),
+s2 as (select *, sum(length(part)) over (partition by passage_id order by k) - length(part) ofs, regexp_replace(part, '^[{_SP}]+', '') l from s1),
+s3 as (select passage_id, docid, fieldid, base_offset, ofs + length(part) - length(l) a, regexp_replace(l, '[{_SP}]+$', '') sent, k from s2),
+se as (select passage_id, docid, fieldid, cast(row_number() over (partition by passage_id order by k) - 1 as int) sent_idx, cast(base_offset + a as int) sent_start, sent from s3 where length(sent) > 0)"""
+_CAND = f"""{_SENT},
+t0 as (select passage_id, docid, fieldid, sent_idx, sent_start, sent, regexp_extract_all(sent, '[^{_SEP}]+|[{_SEP}]') toks from se),
+t1 as (select * exclude (toks), unnest(toks) tok, generate_subscripts(toks, 1) - 1 i, len(toks) n from t0),
+t2 as (select *, sum(length(tok)) over (partition by passage_id, sent_idx order by i) - length(tok) ofs, sum(length(tok)) over (partition by passage_id, sent_idx order by i) fin from t1),
+ca as (select a.passage_id, a.docid, a.fieldid, a.sent_idx, a.i, b.i + 1 j, cast(a.sent_start + a.ofs as int) "start", cast(b.fin - a.ofs as int) "length", substring(a.sent, cast(a.ofs + 1 as bigint), cast(b.fin - a.ofs as bigint)) term
+  from t2 a join t2 b on a.passage_id = b.passage_id and a.sent_idx = b.sent_idx and b.i between a.i and a.i + 14
+  where regexp_matches(a.tok, '^{_EDGE}') and lower(a.tok) <> 'other' and b.fin - a.ofs > 2 and regexp_matches(b.tok, '{_EDGE}$'))"""
+_MATCH = f"""{_CAND}, {_NAMES},
+di as (select norm, cui, arg_min(str, ord) concept_string from nm group by 1, 2),
+k0 as (select distinct term from ca), k1 as (select term, lower(term) k, {_normal("term")} n from k0),
+k2 as (select term, k norm, 0 r from k1 union all select term, n, 1 from k1 where n <> k),
+h as (select k2.term, k2.norm, r, cui, concept_string from k2 join di using (norm)),
+mt as (select ca.*, h.norm, h.cui, h.concept_string, greatest(0, j - 15) window_no from ca join h using (term) qualify row_number() over (partition by passage_id, "start", "length", cui order by r, sent_idx) = 1)"""
+_TOP = """sp as (select distinct passage_id, "start", "start" + "length" e from mt),
+tp as (select *, max(e) over (partition by passage_id order by "start", e desc rows between unbounded preceding and 1 preceding) m from sp),
+su as (select mt.* from mt join tp on tp.passage_id = mt.passage_id and tp."start" = mt."start" and tp.e = mt."start" + mt."length" where m is null or m < e)"""
+_TRIG_VALUES = ", ".join(f"([{', '.join(repr(w) for w in p)}], '{k}', {i})" for i, (p, k) in enumerate(TRIGGERS))
+_NEG = f"""{_MATCH},
+lx as (select * from (values {_TRIG_VALUES}) v(phrase, kind, lex_ord)),
+w0 as (select passage_id, sent_idx, sent_start + ofs "start", length(tok) len, lower(tok) w, i from t2 where tok <> '.' and not regexp_matches(tok, '^[{_SP}]$')),
+w1 as (select *, cast(row_number() over (partition by passage_id, sent_idx order by i) - 1 as int) pos, list(w) over (partition by passage_id, sent_idx order by i rows between current row and 6 following) nxt from w0),
+tr as (select passage_id, sent_idx, pos, len(phrase) size, kind, lex_ord from w1 join lx on nxt[1:len(phrase)] = phrase),
+lo as (select * from tr qualify row_number() over (partition by passage_id, sent_idx, pos order by size desc, lex_ord) = 1),
+ep as (select m.passage_id, m.sent_idx, m."start", m."length", max(pos) epos from (select distinct passage_id, sent_idx, "start", "length" from mt) m join w1 on w1.passage_id = m.passage_id and w1.sent_idx = m.sent_idx and (w1."start" = m."start" or (w1."start" <= m."start" and w1."start" + len >= m."start" + m."length")) group by 1, 2, 3, 4),
+ng as (select distinct ep.passage_id, ep."start", ep."length" from ep join lo using (passage_id, sent_idx) where abs(epos - pos) <= 6 and ((kind = 'nega' and pos <= epos) or (kind = 'negb' and pos > epos))
+  and not exists (select 1 from tr c where c.kind = 'conj' and c.passage_id = ep.passage_id and c.sent_idx = ep.sent_idx and c.pos > least(lo.pos, epos) and c.pos < greatest(lo.pos, epos))),
+nn as (select mt.*, ng.passage_id is not null negated from mt left join ng on ng.passage_id = mt.passage_id and ng."start" = mt."start" and ng."length" = mt."length")"""
+_TF = f"""{_MATCH},
+tf as (select docid, cui, count(*) frequency, cast(coalesce(arg_min(coalesce(fieldid in ('title', 'TI'), false), (passage_id, "start", "length")), false) as int) title_flag from mt group by 1, 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    one = r"regexp_replace(text, '[\t\r\n|]', ' ', 'g')"
+    lines = rf"x as (select doc_id, cast(doc_id as varchar) docid, {one} t from documents where text is not null)"
+    out = {
+        "d3_names": f"with {_NAMES} select ord, cui, lower(str) norm, sab from nm where lower(str) <> '' and sab in ('LEXA', 'CLINT')",
+        "d5_preferred_name": f"with {_NAMES} select cui, coalesce(arg_max(str, ord) filter (tty = 'PT'), arg_max(str, ord) filter (coalesce(tty, '') <> 'PT')) preferred_name from nm group by 1",
+        "d6_semtypes": f"with {_TYPES_SQL} select cui, tui, case when abbrev = 'tmco' then tui else abbrev end abbrev from ty",
+        "d7_treecodes": f"with {_NAMES} select ord, lower(str) term, case when right(cui, 1) in ('1', '2') and cui in (select cui from concepts) then 'C' || right(cui, 2) || '.1' else 'x.x.x.x' end treecode from nm where sab = 'LEXA'",
+        "d10_source_counts": f"with {_NAMES} select sab, (select count(*) from nm where nm.sab = v.sab) n from (values ('LEXA'), ('CLINT'), ('NOSUCH')) v(sab)",
+        "d11_relations": "select l_orderkey, l_linenumber from lineitem where (l_returnflag, l_linestatus) in (('A', 'F'), ('N', 'O'))",
+        "d12_stats": f"with {_NAMES} select 'names_rows' as key, count(*) as value from nm union all select 'concepts_rows', count(*) from concepts union all select 'types_rows', count(*) from concepts union all select 'distinct_keys', count(distinct norm) from nm",
+        "q2_cuis": f"with {_NAMES}, k as (select preferred_name, lower(preferred_name) n from concepts union select preferred_name, {_normal('preferred_name')} from concepts) select preferred_name, string_agg(distinct cui, ',' order by cui) cuis from k join nm on nm.norm = k.n group by 1",
+        "q4_known": f"with {_NAMES}, t as (select distinct matched_text from entities where matched_text is not null), k as (select matched_text, lower(matched_text) n from t union select matched_text, {_normal('matched_text')} from t) select distinct matched_text from k where n in (select norm from nm where norm is not null)",
+        "q5_strings": f"with {_NAMES}, u as (select distinct norm, cui from nm), g as (select norm, cui, arg_min(str, ord) f, count(distinct str) n from nm where norm is not null and cui is not null group by 1, 2) select norm, cui, coalesce(f, norm) concept_string, coalesce(n, 0) n_strings from u left join g using (norm, cui)",
+        "q6_preferred": "select distinct e.cui, coalesce(c.preferred_name, e.cui) preferred_name from evidence e left join concepts c using (cui)",
+        "q7_types": f"with {_TYPES_SQL} select cui, string_agg(abbrev, ',' order by abbrev) semantic_types from ty group by 1",
+        "q8_sources": f"with {_NAMES}, f as (select cui, sab, min(ord) o from nm where sab is not null group by 1, 2) select cui, string_agg(sab, ',' order by o, sab) sources from f group by 1",
+        "q10_lookup": f"with {_NAMES}, {_TYPES_SQL}, k as (select preferred_name query, lower(preferred_name) n, 0 r from concepts union select preferred_name, {_normal('preferred_name')}, 1 from concepts), m as (select query, nm.cui, sab, tty, arg_min(str, (r, ord)) matched from k join nm on nm.norm = k.n where sab in ('LEXA', 'CLINT') group by 1, 2, 3, 4) select query, m.cui, coalesce(c.preferred_name, m.cui) preferred_name, matched, sab, tty, ty.abbrev semantic_types from m left join concepts c on c.cui = m.cui join ty on ty.cui = m.cui where ty.tui in ('T047', 'T184')",
+        "s2_lines": r"with x as (select doc_id k, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)$', ''), '\r\n|\r|\n') l from documents where text is not null) select k, cast(generate_subscripts(l, 1) - 1 as int) line_no, unnest(l) content from x",
+        "s5_title_abstract": f"with {lines} select docid, 0 passage_no, 'title' fieldid, 0 base_offset, substring(t, 1, 20) as text from x union all select docid, 1, 'abstract', 0, substring(t, 21) from x",
+        "s8_pubtator": rf"with {_P}, l as (select passage_id, cast(passage_id // 4 as varchar) d, passage_id % 2 k, regexp_replace(text, '[\r\n|]', ' ', 'g') t from p), g as (select d, arg_max(t, passage_id) filter (k = 0) t, arg_max(t, passage_id) filter (k = 1) a from l group by 1) select d docid, 0 passage_no, 'title' fieldid, 0 base_offset, t as text from g where t is not null union all select d, case when t is null then 0 else 1 end, 'abstract', coalesce(length(t), 0), a from g where a is not null",
+        "t1_sentences": f"with {_SENT} select passage_id, sent_idx, sent_start, sent from se",
+        "t3_lines": rf"with x as (select doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)', chr(1) || '\1' || chr(1), 'g'), chr(1)) l from documents where text is not null), y as (select doc_id, unnest(l) as text, generate_subscripts(l, 1) k from x), z as (select *, cast(sum(length(text)) over (partition by doc_id order by k) - length(text) as int) \"start\" from y) select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as int) i, \"start\", text from z where k % 2 = 1 and regexp_replace(text, '[{_SP}]+', '', 'g') <> ''".replace('\\"', '"'),
+        "t5_tokens": f"""with {_P}, t0 as (select passage_id, regexp_extract_all(text, '[^{_SEP}]+|[{_SEP}]') toks from p), t1 as (select passage_id, unnest(toks) token, cast(generate_subscripts(toks, 1) - 1 as int) tok from t0) select passage_id, tok, cast(sum(length(token)) over (partition by passage_id order by tok) - length(token) as int) tok_start, token from t1""",
+        "t9_normalize": f"with {_NAMES} select ord, {_normal('str')} normal from nm",
+        "e1_candidates": f'with {_CAND} select passage_id, "start", "length", term from ca',
+        "e2_matches": f'with {_MATCH} select passage_id, "start", "length", term, cui, concept_string, cast(window_no as int) window_no from mt',
+        "e10_restrict": f"""with {_MATCH}, {_TYPES_SQL} select passage_id, "start", "length", cui from mt where cui in (select cui from ty where abbrev in ('dsyn', 'sosy', 'neop')) and cui in (select cui from nm where sab = 'LEXA')""",
+        "e11_subsumption": f'with {_MATCH}, {_TOP} select passage_id, "start", "length", term, cui from su',
+        "n3_triggers": f"with {_NEG} select passage_id, sent_idx, pos, cast(size as int) size, kind from lo",
+        "n5_negation": f'with {_NEG} select passage_id, "start", "length", cui, negated from nn',
+        "f1_term_frequency": f"with {_TF} select docid, cui, frequency, title_flag from tf",
+        "f2_mmi_score": f"with {_TF}, y as (select *, (14.0 * greatest(1, length(cui) % 7) / 8) / 15 spec, ln(((exp(5) + 1) + (exp(5) - 1) * least(1.0, frequency / 1000.0)) / ((exp(5) + 1) - (exp(5) - 1) * least(1.0, frequency / 1000.0))) / 5 nf from tf) select docid, cui, round(10000 * case when title_flag = 1 then spec else nf * spec end, 6) score from y",
+        "f10_rows": f'with {_NEG} select docid document, cui, term, negated, "start", "start" + "length" "end" from nn',
+        "f11_star": f"with {_NEG} select docid document, count(*) n_annotations from nn group by 1",
+        "f12_evidence": f"with {_MATCH} select distinct m.cui, n.sab source from mt m join nm n using (cui) where n.sab is not null",
+        "g1_top_concepts": f"with {_MATCH}, t as (select cui, lower(term) lt, count(*) n from mt group by 1, 2), c as (select cui, arg_max(lt, (n, lt)) commonest_term from t group by 1), m as (select cui, count(*) mentions, count(distinct docid) documents from mt group by 1 order by 2 desc, 1 limit 25) select m.cui, mentions, documents, commonest_term from m join c using (cui)",
+        "g2_doc_stats": f"""with {_NEG} select docid, count(distinct (passage_id, "start", "length")) spans, count(distinct case when negated then (passage_id, "start", "length") end) negated_spans, count(distinct cui) concepts from nn group by 1""",
+        "g3_cohort": f"""with {_NEG}, h as (select distinct docid, passage_id, "start", "length", negated from nn where cui in (select cui from concepts) and right(cui, 1) in ('3', '7')), n as (select docid, count(*) filter (not negated) a, count(*) filter (negated) g from h group by 1), dd as (select distinct docid from p) select dd.docid, case when coalesce(a, 0) > 0 then 'affirmed' when coalesce(g, 0) > 0 then 'negated_only' else 'absent' end status, coalesce(a, 0) n_affirmed, coalesce(g, 0) n_negated from dd left join n on n.docid = dd.docid""",
+        "g6_evidence_top": "with e as (select distinct evidence_id, cui from evidence) select cui, count(*) n, any_value(preferred_name) preferred_name from e join concepts using (cui) group by 1 order by 2 desc, 1 limit 10",
+        "g7_agreement": f"with {_MATCH}, a as (select distinct docid, cui from mt where docid is not null), b as (select distinct docid, cui from entities join evidence using (entity_id) where docid is not null and cui is not null), x as (select (select count(*) from (select * from a intersect select * from b)) tp, (select count(*) from (select * from a except select * from b)) fp, (select count(*) from (select * from b except select * from a)) fn) select tp, fp, fn, round(tp / (tp + fp), 9) \"precision\", round(tp / (tp + fn), 9) recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))), 9) f1 from x",
+        "g8_differences": "with e as (select distinct on (entity_id) * from entities order by entity_id), r as (select entity_id, case when entity_id % 5 = 0 then 1 else negated end negated, temporality from e where entity_id % 7 <> 0) select count(*) filter (r.entity_id is null) left_only, 0 right_only, count(*) filter (r.entity_id is not null and e.negated is distinct from r.negated) negated_differs, count(*) filter (r.entity_id is not null and e.temporality is distinct from r.temporality) temporality_differs from e left join r using (entity_id)",
+    }
+    return out
