@@ -160,7 +160,10 @@ def normalize(text: Column) -> Column:
     tag = r"^\[(?:X|V|D|M|EDTA|SO|Q)\]"
     plain = F.when(spelled.rlike(tag), F.regexp_replace(spelled, tag, "")).otherwise(F.regexp_replace(F.regexp_replace(spelled, " +", " "), "^ | $", ""))
     words = F.filter(F.split(F.lower(plain), r"[ \t\n\r\f$|~]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, remove_possessives), " ")
+    full = F.array_join(F.transform(words, remove_possessives), " ")
+    # most texts have nothing to change but their case
+    plainly = ~text.rlike(r"[\x{370}-\x{3ff}\[$|~\t\n\r\f']|  |^ | $")
+    return F.when(plainly, F.lower(text)).otherwise(full)
 
 
 def lookup_keys(text: Column) -> Column:

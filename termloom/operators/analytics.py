@@ -36,7 +36,7 @@ def agreement(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Tp, fp, fn, precision, recall and f1 of ``left`` against ``right`` as sets."""
     a = left.select(*on).distinct().withColumn("_l", F.lit(1))
     b = right.select(*on).distinct().withColumn("_r", F.lit(1))
-    j = a.join(b, on, "full").agg(F.count_if("_l is not null and _r is not null").alias("tp"), F.count_if("_r is null").alias("fp"), F.count_if("_l is null").alias("fn"))
+    j = a.join(b, on, "full").agg(F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("tp"), F.count_if(F.col("_r").isNull()).alias("fp"), F.count_if(F.col("_l").isNull()).alias("fn"))
     p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
     return j.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), F.try_divide(2 * p * r, p + r).alias("f1"))
 
@@ -46,7 +46,7 @@ def differences(left: DataFrame, right: DataFrame, on: list[str], fields: list[s
     r = right.select(*on, *[F.col(f).alias(f"_r_{f}") for f in fields]).withColumn("_r", F.lit(1))
     j = left.select(*on, *fields).withColumn("_l", F.lit(1)).join(r, on, "full")
     both = F.col("_l").isNotNull() & F.col("_r").isNotNull()
-    return j.agg(F.count_if("_r is null").alias("left_only"), F.count_if("_l is null").alias("right_only"), *[F.count_if(both & ~F.col(f).eqNullSafe(F.col(f"_r_{f}"))).alias(f"{f}_differs") for f in fields])
+    return j.agg(F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"), *[F.count_if(both & ~F.col(f).eqNullSafe(F.col(f"_r_{f}"))).alias(f"{f}_differs") for f in fields])
 
 
 def top_concepts(evidence: DataFrame, concepts: DataFrame, top: int) -> DataFrame:

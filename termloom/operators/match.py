@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as T
+from termloom.session import spread
 
 #: Tokens in a span at most.
 LONGEST = 15
@@ -23,7 +24,7 @@ EDGE = r"[0-9A-Za-z\x{370}-\x{377}\x{37a}-\x{37e}\x{384}-\x{38a}\x{38c}\x{38e}-\
 def sentence_rows(passages: DataFrame, method: str = "SENTENCES") -> DataFrame:
     """(passage_id, docid, fieldid, sent_idx, sent_start, sent): the sentences of passages, positions
     counted from the document's start."""
-    p = passages.select("passage_id", "docid", "fieldid", F.coalesce("base_offset", F.lit(0)).alias("base_offset"), F.posexplode(T.segment(F.col("text"), method)).alias("sent_idx", "s"))
+    p = spread(passages).select("passage_id", "docid", "fieldid", F.coalesce("base_offset", F.lit(0)).alias("base_offset"), F.posexplode(T.segment(F.col("text"), method)).alias("sent_idx", "s"))
     return p.select("passage_id", "docid", "fieldid", "sent_idx", (F.col("base_offset") + F.col("s.start")).cast("int").alias("sent_start"), F.col("s.text").alias("sent"))
 
 

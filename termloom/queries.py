@@ -468,7 +468,7 @@ def oracle_sql() -> dict[str, str]:
         "f12_evidence": f"with {_MATCH} select distinct m.cui, n.sab source from mt m join nm n using (cui) where n.sab is not null",
         "g1_top_concepts": f"with {_MATCH}, t as (select cui, lower(term) lt, count(*) n from mt group by 1, 2), c as (select cui, arg_max(lt, (n, lt)) commonest_term from t group by 1), m as (select cui, count(*) mentions, count(distinct docid) documents from mt group by 1 order by 2 desc, 1 limit 25) select m.cui, mentions, documents, commonest_term from m join c using (cui)",
         "g2_doc_stats": f"""with {_NEG} select docid, count(distinct (passage_id, "start", "length")) spans, count(distinct case when negated then (passage_id, "start", "length") end) negated_spans, count(distinct cui) concepts from nn group by 1""",
-        "g3_cohort": f"""with {_NEG}, h as (select distinct docid, passage_id, "start", "length", negated from nn where cui in (select cui from concepts) and right(cui, 1) in ('3', '7')), n as (select docid, count(*) filter (not negated) a, count(*) filter (negated) g from h group by 1), dd as (select distinct docid from p) select dd.docid, case when coalesce(a, 0) > 0 then 'affirmed' when coalesce(g, 0) > 0 then 'negated_only' else 'absent' end status, coalesce(a, 0) n_affirmed, coalesce(g, 0) n_negated from dd left join n on n.docid = dd.docid""",
+        "g3_cohort": f"""with {_NEG}, hit as (select distinct docid, passage_id, "start", "length", negated from nn where cui in (select cui from concepts) and right(cui, 1) in ('3', '7')), n as (select docid, count(*) filter (not negated) a, count(*) filter (negated) g from hit group by 1), dd as (select distinct docid from p) select dd.docid, case when coalesce(a, 0) > 0 then 'affirmed' when coalesce(g, 0) > 0 then 'negated_only' else 'absent' end status, coalesce(a, 0) n_affirmed, coalesce(g, 0) n_negated from dd left join n on n.docid = dd.docid""",
         "g6_evidence_top": "with e as (select distinct evidence_id, cui from evidence) select cui, count(*) n, any_value(preferred_name) preferred_name from e join concepts using (cui) group by 1 order by 2 desc, 1 limit 10",
         "g7_agreement": f"with {_MATCH}, a as (select distinct docid, cui from mt where docid is not null), b as (select distinct docid, cui from entities join evidence using (entity_id) where docid is not null and cui is not null), x as (select (select count(*) from (select * from a intersect select * from b)) tp, (select count(*) from (select * from a except select * from b)) fp, (select count(*) from (select * from b except select * from a)) fn) select tp, fp, fn, round(tp / (tp + fp), 9) \"precision\", round(tp / (tp + fn), 9) recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))), 9) f1 from x",
         "g8_differences": "with e as (select distinct on (entity_id) * from entities order by entity_id), r as (select entity_id, case when entity_id % 5 = 0 then 1 else negated end negated, temporality from e where entity_id % 7 <> 0) select count(*) filter (r.entity_id is null) left_only, 0 right_only, count(*) filter (r.entity_id is not null and e.negated is distinct from r.negated) negated_differs, count(*) filter (r.entity_id is not null and e.temporality is distinct from r.temporality) temporality_differs from e left join r using (entity_id)",
