@@ -172,10 +172,10 @@ _ENDS = "。！？」）；：，、、"
 @lru_cache(maxsize=1)
 def _cut() -> str:
     """A pattern after which units are cut: sentence marks of scripts without spaces, clean or garbled
-    (garbled ones only where they are two characters or more)."""
+    (garbled ones only where they are two characters or more, tried only at a character one begins with)."""
     marks = {g for m in _ENDS for g in forms(m, UTF8_AS + TWICE + (("cp932", "cp1252"), ("cp932", "latin-1"))) if len(g) > 1 and "�" not in g}
     leads = "".join(sorted({_quoted(m[0]) for m in marks}))
-    return "([" + _ENDS + "]|(?=[" + leads + "])(?:" + "|".join(sorted(map(_quoted, marks), key=lambda m: (-len(m), m))) + f")|(?<=[{_CJK}])(?=[^{_CJK}])|(?<=[^{_CJK}])(?=[{_CJK}]))"
+    return "([" + _ENDS + "]|(?=[" + leads + "])(?:" + "|".join(sorted(map(_quoted, marks), key=lambda m: (-len(m), m))) + "))"
 
 
 def _quoted(s: str) -> str:
@@ -184,7 +184,8 @@ def _quoted(s: str) -> str:
 
 def units(text: Column) -> Column:
     """array<string>: the units of a text, each with and without ASCII marks around it."""
-    apart = F.regexp_replace(text, _cut(), "$1 ")
+    edges = F.regexp_replace(text, f"(?<=[{_CJK}])(?=[^{_CJK}])|(?<=[^{_CJK}])(?=[{_CJK}])", " ")
+    apart = F.regexp_replace(F.when(text.rlike(f"[{_CJK}]"), edges).otherwise(text), _cut(), "$1 ")
     raw = F.regexp_extract_all(apart, F.lit(r"([^\x00-\x20\x7f0-9]*[^\x00-\x7f][^\x00-\x20\x7f0-9]*)"), F.lit(1))
     core = F.transform(raw, lambda u: F.regexp_replace(u, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", ""))
     return F.array_distinct(F.concat(raw, core))
@@ -282,7 +283,9 @@ def repairs(vocab: DataFrame) -> DataFrame:
     v = vocab
     clean = v.where("bad = 0").withColumn("fold", F.lower("unit"))
     folds = clean.groupBy("fold").agg(F.sum("n").alias("n"), F.min("unit").alias("unit"))
-    table = folds.select("unit", "n").mapInPandas(_word_forms, "unit string, word string, word_n bigint")
+    cores = v.sparkSession.sparkContext.defaultParallelism
+    # few bytes, much work: by size alone these rows would be one task
+    table = folds.select("unit", "n").repartition(cores * 2).mapInPandas(_word_forms, "unit string, word string, word_n bigint")
     met = v.join(table, "unit").where("bad > 0 or word_n >= 2 * n and word_n >= 3 and length(unit) > 3 and unit rlike '[A-Za-z]'")
     met = met.where("word <> unit")
     by_word = met.groupBy("unit").agg(F.max_by("word", F.struct("word_n", "word")).alias("original"))
