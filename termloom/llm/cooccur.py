@@ -67,6 +67,10 @@ class PairStore:
     def _read(self, at: str) -> DataFrame:
         return self.spark.read.parquet(at)
 
+    def _read_pairs(self) -> DataFrame:
+        # an empty table has no buckets to read a schema from
+        return self.spark.read.schema("item_a string, item_b string, n bigint, bucket int").parquet(self.state.pairs).select("item_a", "item_b", "n")
+
     @staticmethod
     def _split(baskets: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
         """Small baskets, and hot ones. The list of hot baskets is at most items / hot long."""
@@ -90,14 +94,14 @@ class PairStore:
             old_small, _ = self._split(old, self.hot)
             deltas.append(pairs(old_small, -1))
             marks.append(old.groupBy("item").agg((-F.count(F.lit(1))).alias("n")))
-            deltas.append(self._read(self.state.pairs).select("item_a", "item_b", "n"))
+            deltas.append(self._read_pairs())
             marks.append(self._read(self.state.items))
             baskets = old_all.join(keys, "basket", "left_anti").unionByName(full)
             members = self._read(self.state.hot_members).join(keys, "basket", "left_anti").unionByName(large)
         merged = _summed(deltas, "item_a", "item_b").withColumn("bucket", _bucket())
         self.state = State(
             self._write(baskets, "baskets"),
-            self._write(merged.repartition("bucket") if len(deltas) > 1 else merged, "pairs", "bucket" if len(deltas) > 1 else None),
+            self._write(merged.repartition("bucket"), "pairs", "bucket"),
             self._write(_summed(marks, "item"), "items"),
             self._write(members, "hot"),
             self.hot,
@@ -113,7 +117,7 @@ class PairStore:
             # fewer than ``least`` baskets are hot
             store = PairStore(self.spark, hot=self.hot * 4)
             return store.apply(self._read(self.state.baskets)).counts(least)
-        p = self._read(self.state.pairs).select("item_a", "item_b", "n")
+        p = self._read_pairs()
         frequent = self._read(self.state.items).where(F.col("n") >= least).select("item")
         held = p.where(F.col("n") >= least - many)
         held = held.join(frequent.withColumnRenamed("item", "item_a"), "item_a", "left_semi").join(frequent.withColumnRenamed("item", "item_b"), "item_b", "left_semi")
