@@ -192,8 +192,8 @@ def _token_before(text: str, i: int) -> tuple[int, int] | None:
     a = k
     while a and (text[a - 1].isalpha() or text[a - 1] in "'’-"):
         a -= 1
-    if a == k:
-        return None
+    if a == k or (a and text[a - 1].isdigit()):
+        return None  # nothing, or the letter of a number
     return (a, j) if k == j or k - a <= 2 else None
 
 
@@ -286,6 +286,8 @@ def _name_backward(text: str, i: int) -> tuple[int, int] | None:
             break
         w = text[a:b]
         bare = w.rstrip(".")
+        if len(bare) == 1 and w == bare and not (bare.lower() in PARTICLES):
+            break  # a letter that is no initial: the end of a number
         if words and text[b - 1] == "." and len(bare) > 1:
             break  # the end of the sentence before, or a title
         if bare.lower() in PARTICLES and begin is not None:

@@ -27,6 +27,7 @@ HARD = [None, "", "   \n", "x" * 200_000, "à​😀 «é» №", "�\x85"]
         ("Post geht an Silberauer Allee 60 b.", [("address", "Silberauer Allee 60 b")]),
         ("Identity card QQ 09 71 68 C was copied.", [("id", "QQ 09 71 68 C")]),
         ("Counts were 120-130-1400 over three runs. Lot 485-4471-88 was opened.", []),
+        ("insurance no. 00009810T Oryn Ivaschko lives at 9 Old Lane.", [("id", "00009810T"), ("name", "Oryn Ivaschko"), ("address", "9 Old Lane")]),
         ("25. 5555550194 is the daytime line.", [("phone", "5555550194")]),
         ("Joindre NADIELA QUILLMARSH au 06.39.98.77.11.", [("name", "NADIELA QUILLMARSH"), ("phone", "06.39.98.77.11")]),
     ],
