@@ -430,10 +430,49 @@ _TF = f"""{_MATCH},
 tf as (select docid, cui, count(*) frequency, cast(coalesce(arg_min(coalesce(fieldid in ('title', 'TI'), false), (passage_id, "start", "length")), false) as int) title_flag from mt group by 1, 2)"""
 
 
+def _nn(x: str) -> str:
+    return f"(case when json_type({x}) = 'NULL' then null else {x} end)"
+
+
+def _json_list(x: str) -> str:
+    return f"(case when {x} is null or json_type({x}) = 'NULL' then []::json[] when json_type({x}) = 'ARRAY' then json_extract({x}, '$[*]') else [{x}] end)"
+
+
+def _json_text(x: str) -> str:
+    return f"(case when json_type({x}) = 'VARCHAR' and json_valid({x} ->> '$') and regexp_matches({x} ->> '$', '^\\s*[\\[{{{{]') then ({x} ->> '$')::json else {x} end)"
+
+
+_NESTED = f"""
+r as (select distinct rec_id, cast(payload as json) j from annotation_records where json_valid(payload)),
+e0 as (select rec_id, case when json_type(j) = 'ARRAY' then j else {_nn("(j -> 'entities')")} end x from r),
+e1 as (select rec_id, {_json_list("x")} l from e0),
+e2 as (select rec_id, unnest(l) e, cast(generate_subscripts(l, 1) - 1 as int) parent_no from e1),
+e3 as (select * from e2 where json_type(e) <> 'NULL'),
+v0 as (select rec_id, parent_no, coalesce({_nn("(e -> 'evs')")}, {_nn("(e -> 'evlist')")}) x from e3),
+v1 as (select rec_id, parent_no, {_json_list("x")} l from v0),
+v2 as (select rec_id, parent_no, unnest(l) v, cast(generate_subscripts(l, 1) - 1 as int) ev_no from v1),
+v3 as (select *, coalesce({_nn("(v -> 'concept')")}, {_nn("(v -> 'conceptinfo')")}) x from v2 where json_type(v) <> 'NULL'),
+v4 as (select *, {_json_text("x")} y from v3),
+v5 as (select rec_id, parent_no, ev_no, {_json_list("y")} l from v4),
+c0 as (select rec_id, parent_no, ev_no, unnest(l) c from v5),
+s0 as (select rec_id, parent_no, ev_no, {_nn("(c -> 'sources')")} x from c0),
+s1 as (select rec_id, parent_no, ev_no, unnest({_json_list("x")}) s from s0),
+q0 as (select rec_id, {_nn("(j -> 'passages')")} x from r where json_type(j) = 'OBJECT'),
+q1 as (select rec_id, {_json_list("x")} l from q0),
+q2 as (select rec_id, unnest(l) p, cast(generate_subscripts(l, 1) - 1 as int) parent_no from q1),
+q3 as (select rec_id, parent_no, {_nn("(p -> 'infons')")} f from q2 where json_type(p) <> 'NULL'),
+q4 as (select rec_id, parent_no, unnest(case when json_type(f) = 'OBJECT' then json_keys(f) when json_type(f) = 'ARRAY' then list_transform(json_extract(f, '$[*]'), lambda k: k ->> 'key') else []::varchar[] end) item from q3)
+select 'entity' child, rec_id, parent_no, cast(-1 as int) ev_no, '' item from e3
+union select 'ev', rec_id, parent_no, ev_no, coalesce(list_filter(list_transform(l, lambda c: c ->> 'cui'), lambda k: k is not null)[1], '') from v5
+union select 'source', rec_id, parent_no, ev_no, s ->> '$' from s1 where json_type(s) <> 'NULL'
+union select 'infon', rec_id, parent_no, -1, item from q4 where item is not null"""
+
+
 def oracle_sql() -> dict[str, str]:
     one = r"regexp_replace(text, '[\t\r\n|]', ' ', 'g')"
     lines = rf"x as (select doc_id, cast(doc_id as varchar) docid, {one} t from documents where text is not null)"
     out = {
+        "p3_found": f"with {_NESTED.strip()}",
         "d3_names": f"with {_NAMES} select ord, cui, lower(str) norm, sab from nm where lower(str) <> '' and sab in ('LEXA', 'CLINT')",
         "d5_preferred_name": f"with {_NAMES} select cui, coalesce(arg_max(str, ord) filter (tty = 'PT'), arg_max(str, ord) filter (coalesce(tty, '') <> 'PT')) preferred_name from nm group by 1",
         "d6_semtypes": f"with {_TYPES_SQL} select cui, tui, case when abbrev = 'tmco' then tui else abbrev end abbrev from ty",
