@@ -512,4 +512,17 @@ def oracle_sql() -> dict[str, str]:
         "g7_agreement": f"with {_MATCH}, a as (select distinct docid, cui from mt where docid is not null), b as (select distinct docid, cui from entities join evidence using (entity_id) where docid is not null and cui is not null), x as (select (select count(*) from (select * from a intersect select * from b)) tp, (select count(*) from (select * from a except select * from b)) fp, (select count(*) from (select * from b except select * from a)) fn) select tp, fp, fn, round(tp / (tp + fp), 9) \"precision\", round(tp / (tp + fn), 9) recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn))), 9) f1 from x",
         "g8_differences": "with e as (select distinct on (entity_id) * from entities order by entity_id), r as (select entity_id, case when entity_id % 5 = 0 then 1 else negated end negated, temporality from e where entity_id % 7 <> 0) select count(*) filter (r.entity_id is null) left_only, 0 right_only, count(*) filter (r.entity_id is not null and e.negated is distinct from r.negated) negated_differs, count(*) filter (r.entity_id is not null and e.temporality is distinct from r.temporality) temporality_differs from e left join r using (entity_id)",
     }
-    return out
+    classes = " ".join(f"when regexp_matches(token, '{p.replace(chr(39), chr(39) * 2)}') then '{n}'" for n, p in T.TOKEN_CLASSES)
+    tokens = out["t5_tokens"]
+    caps = lambda c: f"(upper({c}) = {c} and lower({c}) <> {c})"
+    words = ", ".join(f"'{w}'" for w in match.FUNCTION_WORDS)
+    return out | {
+        "t2_blanklines": r"""with x as (select doc_id, regexp_split_to_array(regexp_replace(replace(text, chr(13) || chr(10), chr(2) || chr(3)), '((?:\x02\x03|\r|\n){2,})', chr(1) || '\1' || chr(1), 'g'), chr(1)) l from documents where text is not null), y as (select doc_id, unnest(l) as text, generate_subscripts(l, 1) k from x), z as (select *, cast(sum(length(text)) over (partition by doc_id order by k) - length(text) as int) "start" from y) select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as int) i, "start", replace(text, chr(2) || chr(3), chr(13) || chr(10)) as text from z where k % 2 = 1 and text <> ''""",
+        "t7_token_classes": f"select case {classes} else 'unknown' end token_class, count(*) n from ({tokens}) group by 1",
+        "e4_excluded": f'with {_MATCH} select passage_id, "start", "length", cui from mt where right(cui, 1) <> \'3\'',
+        "e5_custom": f"""with {_CAND}, c as (select 'U0000001' cui, 'dose' n union all select 'U0000002', 'the margin') select distinct passage_id, "start", "length", cui, n concept_string from ca join c on n in (lower(term), {_normal("term")})""",
+        "e12_precision": f"""with {_MATCH}, {_TOP}, ac as (select norm, cui from nm group by 1, 2 having bool_and({caps("str")} and not contains(str, ' ') and length(regexp_replace(str, '[^\\p{{L}}]', '', 'g')) >= 2)) select passage_id, "start", "length", cui from su where ({caps("term")} or (norm, cui) not in (select (norm, cui) from ac)) and not (regexp_full_match(term, '[\\p{{L}}\\p{{N}}]+') and not {caps("term")} and lower(term) in ({words}))""",
+        "f7_cuilist": f'with {_MATCH}, f as (select cui, min((passage_id, "start")) o from mt group by 1) select cui, row_number() over (order by o, cui) place from f',
+        "f8_ranked": f"with {_TF} select docid, cui, row_number() over (order by -cast(frequency as double), docid nulls first, cui) rank, cast(frequency as double) score from tf",
+        "f9_full": f"""with {_NEG} select docid, passage_id, "start", "length", cui, docid || ': ' || term || ' @ ' || "start" || '+' || "length" || ' ' || cui || ' ' || concept_string || case when negated then ' [negated]' else '' end line from nn""",
+    }
