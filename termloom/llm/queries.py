@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, pii, sentences, subjects, tokens
-from termloom.session import read
+from termloom.session import read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +25,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with placeholders for its personal information."""
-    from termloom.session import spread
-
-    return spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", pii.redacted(F.col("text")).alias("text"))
+    """Every passage and document with placeholders for its personal information, each once."""
+    row = lambda df, table, key: spread(df.select(F.col(key).alias("row_id"), "text").distinct()).select(F.lit(table).alias("table_name"), "row_id", pii.redacted(F.col("text")).alias("text"))
+    return row(read(spark, d, "passages"), "passages", "passage_id").unionByName(row(read(spark, d, "documents"), "documents", "doc_id"))
 
 
 def p2_store(spark: SparkSession, d: str) -> tuple[cooccur.PairStore, int, int]:
@@ -127,8 +126,6 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    from termloom.session import spread
-
     docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     return docs.select("doc_id", tokens.ids(F.col("text"), tokens.tokenizer_path()).alias("ids"))
 

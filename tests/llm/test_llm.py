@@ -44,6 +44,17 @@ def test_pii_keeps_the_rest(spark):
     assert [r["x"] for r in df.select(pii.redacted(F.col("text")).alias("x")).collect()][:3] == HARD[:3]
 
 
+def test_redacted_tables(spark, tmp_path):
+    from termloom.llm import queries
+
+    text = "Call +44 7700 900112."
+    for table, key in (("passages", "passage_id"), ("documents", "doc_id")):
+        rows = [(1, text), (2, None), (3, ""), *([(1, text)] if table == "passages" else [])]
+        spark.createDataFrame(rows, f"{key} bigint, text string").write.parquet(f"{tmp_path}/{table}.parquet")
+    got = sorted(map(tuple, queries.p1_redacted(spark, str(tmp_path)).collect()))
+    assert got == [(t, i, x) for t in ("documents", "passages") for i, x in ((1, "Call [PHONE]."), (2, None), (3, ""))]
+
+
 # --- 2
 
 
