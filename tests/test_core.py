@@ -167,6 +167,24 @@ def test_nested_shapes(spark):
     assert types["$"] == "array|object" and types["$.passages"] == "array|object"
 
 
+def test_nested_levels_follow_the_schema(spark):
+    recs = [
+        {"entities": [{"id": "e", "tags": [{"t": 1, "x.y": [5, [6]]}], "Note": "n", "evs": [{"concept": json.dumps({"cui": "A", "semantic_types": ["T1", "T2"]})}]}]},
+        [{"id": "f", "tags": [None, {"t": "2"}], "evs": [{"conceptinfo": [{"cui": "B", "semantictypes": "T3"}], "value": "v"}]}],
+        {"extra": {"k": [1]}, "entities": {"tags": "[x"}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)], "rec_id int, payload string")
+    t = nested.annotation_tables(df)
+    rows = lambda name, *cols: sorted(tuple(r) for r in t[name].select("rec_id", *cols).collect())
+    assert rows("semantic_type", "entity_no", "ev_no", "concept_no", "semantic_type_no", "value") == [(0, 0, 0, 0, 0, "T1"), (0, 0, 0, 0, 1, "T2"), (1, 0, 0, 0, 0, "T3")]
+    assert rows("tags", "entity_no", "tags_no", "t") == [(0, 0, 0, "1"), (1, 0, 1, "2"), (2, 0, 0, None)]
+    assert rows("x_y", "tags_no", "x_y_no", "value") == [(0, 0, 0, "5"), (0, 0, 1, "[6]")]
+    assert rows("x_y_item", "x_y_no", "x_y_item_no", "value") == [(0, 1, 0, "6")]
+    assert rows("k", "extra_no", "k_no", "value") == [(2, 0, 0, "1")]
+    assert [r["Note"] for r in t["entity"].orderBy("rec_id").collect()] == ["n", None, None]
+    assert rows("ev", "value_") == [(0, None), (1, "v")]
+
+
 def test_settings(tmp_path, monkeypatch):
     (tmp_path / "p").write_text("# c\ndetector=context\nprecision_filter: true\n")
     monkeypatch.setenv("TERMLOOM_DETECTOR", "none")
