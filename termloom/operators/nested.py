@@ -34,7 +34,7 @@ class Level:
     name: str
     members: tuple[str, ...]
     children: tuple["Level", ...] = ()
-    keyed: bool = False  # a map (object) or a list of {key, value}: one row per key
+    keyed: bool = False  # a map (object) or a list of {key, value}: one row per entry
     fields: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
 
@@ -202,10 +202,12 @@ def as_list(c: Column) -> Column:
     return F.when(c.rlike(r"^\s*\["), F.coalesce(F.from_json(c, "array<string>"), F.array(c))).otherwise(F.when(c.isNotNull(), F.array(c)))
 
 
-def _keys(c: Column) -> Column:
-    """The keys of a map, or of a list of {key, value}."""
-    of_list = F.transform(F.from_json(c, "array<struct<key: string>>"), lambda x: x.key)
-    return F.when(c.rlike(r"^\s*\["), F.filter(of_list, lambda k: k.isNotNull())).otherwise(F.map_keys(F.from_json(c, "map<string,string>")))
+def _entries(c: Column) -> Column:
+    """(no, item, value) of a map, or of a list of {key, value}: the position of an entry in the list
+    (null in a map, which has no order), its key and its value as text. Entries without key are none."""
+    of_list = F.transform(F.from_json(c, "array<struct<key: string, value: string>>"), lambda x, i: F.struct(i.alias("no"), x.key.alias("item"), x.value.alias("value")))
+    of_map = F.transform(F.map_entries(F.from_json(c, OPENED)), lambda x: F.struct(F.lit(None).cast("int").alias("no"), x.key.alias("item"), x.value.alias("value")))
+    return F.when(c.rlike(r"^\s*\["), F.filter(of_list, lambda x: x["item"].isNotNull())).otherwise(of_map)
 
 
 def flatten(df: DataFrame, key: str, payload: str, levels: tuple[Level, ...]) -> dict[str, DataFrame]:
@@ -213,7 +215,7 @@ def flatten(df: DataFrame, key: str, payload: str, levels: tuple[Level, ...]) ->
 
     Columns of each: the record ``key``, ``<ancestor>_no`` for every enclosing level, ``<name>_no``
     (own ordinal), the level's ``fields`` as strings, and ``value`` (JSON text). Keyed levels have
-    ``item`` (the key) instead of an ordinal and value.
+    ``item`` (the key) and ``value`` (null stays null); their ordinal is null for a map.
     """
     root = spread(df.select(F.col(key), F.col(payload).alias("value")))
     root = root.where("value rlike '^\\\\s*[\\\\{\\\\[]' and try_parse_json(value) is not null")
@@ -224,7 +226,8 @@ def flatten(df: DataFrame, key: str, payload: str, levels: tuple[Level, ...]) ->
         for lv in levels:
             held = _member(tuple(m for m in lv.members if m))
             if lv.keyed:
-                out[lv.name] = opened.select(*keys, held.alias("_h")).where("_h is not null").select(*keys, F.explode(F.array_distinct(_keys(F.col("_h")))).alias("item"))
+                entries = opened.select(*keys, held.alias("_h")).where("_h is not null").select(*keys, F.explode(_entries(F.col("_h"))).alias("_e"))
+                out[lv.name] = entries.select(*keys, F.col("_e.no").alias(f"{lv.name}_no"), "_e.item", "_e.value")
                 continue
             if "" in lv.members:
                 held = F.when(F.col("value").rlike(r"^\s*\["), F.col("value")).otherwise(held)

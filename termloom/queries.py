@@ -94,6 +94,40 @@ def p3_schema(spark: SparkSession, d: str) -> DataFrame:
     return nested.merged_schema(read(spark, d, "annotation_records"), "payload")
 
 
+def _flat(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """A flat table of the nested records, a record delivered again once."""
+    return nested.annotation_tables(read(spark, d, "annotation_records"))[name].distinct()
+
+
+def p3_passages(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "passage")
+
+
+def p3_infons(spark: SparkSession, d: str) -> DataFrame:
+    """The infons of the passages with their values."""
+    return _flat(spark, d, "infon")
+
+
+def p3_entities(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "entity")
+
+
+def p3_evs(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "ev")
+
+
+def p3_concepts(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "concept")
+
+
+def p3_sources(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "source")
+
+
+def p3_semantic_types(spark: SparkSession, d: str) -> DataFrame:
+    return _flat(spark, d, "semantic_type")
+
+
 def d3_names(spark: SparkSession, d: str) -> DataFrame:
     return D.names(_conso(spark, d), ("LEXA", "CLINT")).select("ord", "cui", "norm", "sab")
 

@@ -185,6 +185,26 @@ def test_nested_levels_follow_the_schema(spark):
     assert rows("ev", "value_") == [(0, None), (1, "v")]
 
 
+def test_nested_flat_tables(spark, tmp_path):
+    from termloom import queries
+
+    recs = [
+        {"passages": [{"offset": 3, "text": "T", "infons": {"a": "1", "b": None, "c": {"d": 2}}}, {"infons": [{"key": "q", "value": 1}, {"value": 2}, {"key": "q", "value": "x"}]}]},
+        {"entities": [{"id": "e", "text": "m", "evs": [{"id": "v", "score": 1.5, "concept": {"cui": "A", "preferred_name": "P", "sources": ["X"], "semantic_types": ["T1"]}}]}]},
+    ]
+    rows = [(i, json.dumps(r)) for i, r in enumerate([*recs, recs[0]])]
+    rows[2] = (0, rows[0][1])
+    spark.createDataFrame(rows, "rec_id int, payload string").write.parquet(f"{tmp_path}/annotation_records.parquet")
+    known = queries.queries()
+    got = lambda name, *cols: sorted((tuple(r) for r in known[name](spark, str(tmp_path)).select(*cols).collect()), key=str)
+    assert got("p3_infons", "rec_id", "passage_no", "infon_no", "item", "value") == [(0, 0, None, "a", "1"), (0, 0, None, "b", None), (0, 0, None, "c", '{"d":2}'), (0, 1, 0, "q", "1"), (0, 1, 2, "q", "x")]
+    assert got("p3_passages", "rec_id", "passage_no", "offset", "text") == [(0, 0, "3", "T"), (0, 1, None, None)]
+    assert got("p3_entities", "rec_id", "entity_no", "entity_id", "matched_text") == [(1, 0, "e", "m")]
+    assert got("p3_evs", "rec_id", "entity_no", "ev_no", "ev_id", "score") == [(1, 0, 0, "v", "1.5")]
+    assert got("p3_concepts", "ev_no", "concept_no", "cui", "preferred_name") == [(0, 0, "A", "P")]
+    assert got("p3_sources", "concept_no", "source_no", "value") == [(0, 0, "X")] and got("p3_semantic_types", "semantic_type_no", "value") == [(0, "T1")]
+
+
 def test_settings(tmp_path, monkeypatch):
     (tmp_path / "p").write_text("# c\ndetector=context\nprecision_filter: true\n")
     monkeypatch.setenv("TERMLOOM_DETECTOR", "none")
