@@ -116,13 +116,14 @@ def register_detector(name: str, detector: Detector) -> None:
     _DETECTORS[name.lower()] = detector
 
 
-def detector(name: str) -> Detector:
-    """A detector by name."""
+def detector(name: str, types: DataFrame | None = None) -> Detector:
+    """A detector by name. ``types`` (cui, abbrev): negex then negates only concepts of the types
+    that can be negated."""
     from termloom.operators import negation
 
     key = name.lower()
     if key == "negex":
-        return lambda m, s: negation.negated(m, s, negation.lexicon(m.sparkSession))
+        return lambda m, s: negation.negated(m, s, negation.lexicon(m.sparkSession), negation.negatable(types) if types is not None else None)
     if key == "context":
         return lambda m, s: detected(m, s)
     if key == "none":

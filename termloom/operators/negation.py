@@ -14,6 +14,8 @@ from termloom.functions import text as T
 
 #: Tokens between trigger and entity at most.
 REACH = 6
+#: A lexicon is a table of settings and broadcast; a larger one is refused.
+MOST_PHRASES = 20_000
 # Semantic types whose concepts can be negated.
 NEGATABLE = "acab anab biof cgab comd dsyn emod fndg inpo lbtr menp mobd neop patf phsf sosy".split()
 
@@ -45,6 +47,11 @@ def load_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.split(F.trim(F.lower(F.col("f")[0])), " +").alias("phrase"), F.trim(F.col("f")[1]).alias("kind"), "lex_ord")
 
 
+def negatable(types: DataFrame) -> DataFrame:
+    """(cui) of concepts that can be negated, of a type table (cui, abbrev)."""
+    return types.where(F.col("abbrev").isin(*NEGATABLE)).select("cui").distinct()
+
+
 def tokens(sentences: DataFrame) -> DataFrame:
     """The sentence with ``toks``: its tokens without white space and full stops, lower case, each
     with its position."""
@@ -56,10 +63,12 @@ def tokens(sentences: DataFrame) -> DataFrame:
 def triggers(sentences: DataFrame, lex: DataFrame) -> DataFrame:
     """(passage_id, sent_idx, pos, size, kind, lex_ord): phrases found token by token. The join is
     on the first word; the lexicon is a table of settings."""
+    if lex.limit(MOST_PHRASES + 1).count() > MOST_PHRASES:
+        raise ValueError(f"more than {MOST_PHRASES} trigger phrases")
     t = tokens(sentences)
     words = t.withColumn("ws", F.transform("toks", lambda x: x["w"])).select("passage_id", "sent_idx", "ws", F.posexplode("ws").alias("pos", "first"))
     lx = lex.select(F.col("phrase")[0].alias("first"), "phrase", "kind", "lex_ord", F.size("phrase").alias("size"))
-    hit = words.join(F.broadcast(lx.limit(20_000)), "first")
+    hit = words.join(F.broadcast(lx), "first")
     return hit.where(F.slice("ws", F.col("pos") + 1, F.col("size")) == F.col("phrase")).select("passage_id", "sent_idx", "pos", "size", "kind", "lex_ord")
 
 

@@ -49,7 +49,8 @@ class Settings:
 
 def annotate(passages: DataFrame, names: DataFrame, settings: Settings = Settings(), types: DataFrame | None = None, custom: DataFrame | None = None, excluded: DataFrame | None = None, acronyms: DataFrame | None = None) -> DataFrame:
     """Mentions of passages. Order: match, user acronyms, abbreviations, assertion, restriction,
-    subsumption, precision. Assertion sees the unrestricted mentions on purpose."""
+    subsumption, precision. Assertion sees the unrestricted mentions on purpose; with ``types`` (cui,
+    abbrev) it negates only concepts of types that can be negated."""
     s = match.sentence_rows(passages, settings.segmentation_method)
     dict_ = match.dictionary(names, custom)
     m = match.matches(match.candidates(s), dict_, excluded)
@@ -69,7 +70,7 @@ def annotate(passages: DataFrame, names: DataFrame, settings: Settings = Setting
             at = e.join(ends, "passage_id").where("start >= sent_start and start < sent_start + _n").drop("sent_start", "_n")
             m = m.unionByName(at.select(*m.columns))
         m = match.first_per_span(m)
-    m = context.detector(settings.detector)(m, s)
+    m = context.detector(settings.detector, types)(m, s)
     if settings.semantic_types or settings.sources:
         m = match.restrict(m, types, names.select("cui", "sab").distinct(), settings.semantic_types, settings.sources)
     if settings.remove_subsumed:

@@ -64,8 +64,13 @@ def _negated(spark: SparkSession, d: str) -> DataFrame:
     return negation.negated(_mentions(spark, d), _sentences(spark, d), _lexicon(spark))
 
 
+def _negated_all(spark: SparkSession, d: str) -> DataFrame:
+    """By the whole lexicon, for concepts of types that can be negated."""
+    return negation.negated(_mentions(spark, d), _sentences(spark, d), negation.lexicon(spark), negation.negatable(_types(spark, d)))
+
+
 def _full(spark: SparkSession, d: str) -> DataFrame:
-    m = _negated(spark, d).withColumn("pos", F.lit(""))
+    m = _negated_all(spark, d).withColumn("pos", F.lit(""))
     m = D.preferred(m, read(spark, d, "concepts")).join(D.semantic_types(_types(spark, d)), "cui", "left").join(D.sources(_names(spark, d)), "cui", "left")
     return m
 
@@ -81,7 +86,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The whole pipeline over all passages: mentions with assertion, after subsumption."""
-    return annotate(_passages(spark, d), _names(spark, d), Settings()).select("docid", "passage_id", "start", "length", "term", "cui", "concept_string", "negated")
+    return annotate(_passages(spark, d), _names(spark, d), Settings(), _types(spark, d)).select("docid", "passage_id", "start", "length", "term", "cui", "concept_string", "negated")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -302,6 +307,15 @@ def n5_negation(spark: SparkSession, d: str) -> DataFrame:
     return _negated(spark, d).select("passage_id", "start", "length", "cui", "negated")
 
 
+def n3_triggers_all(spark: SparkSession, d: str) -> DataFrame:
+    """n3_triggers by the whole lexicon; the SQL of the queries without ``_all`` has five phrases."""
+    return negation.longest(negation.triggers(_sentences(spark, d), negation.lexicon(spark))).select("passage_id", "sent_idx", "pos", "size", "kind")
+
+
+def n5_negation_all(spark: SparkSession, d: str) -> DataFrame:
+    return _negated_all(spark, d).select("passage_id", "start", "length", "cui", "negated")
+
+
 def c3_context(spark: SparkSession, d: str) -> DataFrame:
     m = context.detected(match.drop_subsumed(_mentions(spark, d)), _sentences(spark, d))
     return m.select("passage_id", "start", "length", "cui", "negated", "assertion", "temporality", "experiencer")
@@ -360,6 +374,14 @@ def f10_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.mention_rows(_negated(spark, d)).select("document", "cui", "term", "negated", "start", "end")
 
 
+def f9_full_all(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.full_text(_negated_all(spark, d))
+
+
+def f10_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    return sinks.mention_rows(_negated_all(spark, d)).select("document", "cui", "term", "negated", "start", "end")
+
+
 def f11_star(spark: SparkSession, d: str) -> DataFrame:
     return sinks.star_tables(_negated(spark, d))["documents"]
 
@@ -376,11 +398,20 @@ def g2_doc_stats(spark: SparkSession, d: str) -> DataFrame:
     return analytics.document_stats(_negated(spark, d))
 
 
+def g2_doc_stats_all(spark: SparkSession, d: str) -> DataFrame:
+    return analytics.document_stats(_negated_all(spark, d))
+
+
 def g3_cohort(spark: SparkSession, d: str) -> DataFrame:
     targets = read(spark, d, "concepts").where("substring(cui, -1, 1) in ('3', '7')").select("cui")
     return analytics.cohort(_passages(spark, d), _negated(spark, d), targets)
 
 
+def g3_cohort_all(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "concepts").where("substring(cui, -1, 1) in ('3', '7')").select("cui")
+    return analytics.cohort(_passages(spark, d), _negated_all(spark, d), targets)
+
+
 def g6_evidence_top(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top_concepts(read(spark, d, "evidence").dropDuplicates(["evidence_id"]), read(spark, d, "concepts"), 10)
 

@@ -86,6 +86,24 @@ def test_negation(spark):
     assert got[0, "C3"] and not got[0, "C1"] and got[1, "C3"] and not got[2, "C3"]
 
 
+def test_queries_with_the_whole_lexicon(spark, tmp_path):
+    import pytest
+
+    from termloom import queries
+
+    texts = ["She came without pneumonia.", "No pneumonia however diabetes persists.", "No aspirin."]
+    passages(spark, *texts).write.parquet(f"{tmp_path}/passages.parquet")
+    known = [(0, "C0000000", "pneumonia"), (1, "C0000001", "diabetes"), (2, "C0000002", "aspirin")]
+    spark.createDataFrame([(o, c, f"S{o}", s, s, "A", "PT") for o, c, s in known], "ord bigint, cui string, sui string, str string, norm string, sab string, tty string").write.parquet(f"{tmp_path}/cuisourceinfo.parquet")
+    spark.createDataFrame([(c, s) for _, c, s in known], "cui string, preferred_name string").write.parquet(f"{tmp_path}/concepts.parquet")
+    want = {(0, "C0000000", True), (1, "C0000000", True), (1, "C0000001", False), (2, "C0000002", False)}
+    for name in ("flagship", "n5_negation_all"):
+        assert {(r["passage_id"], r["cui"], r["negated"]) for r in queries.queries()[name](spark, str(tmp_path)).collect()} == want
+    many = spark.range(negation.MOST_PHRASES + 1).selectExpr("array(string(id)) phrase", "'nega' kind", "int(id) lex_ord")
+    with pytest.raises(ValueError, match="trigger phrases"):
+        negation.triggers(match.sentence_rows(passages(spark, "x")), many)
+
+
 def test_context(spark):
     df = spark.createDataFrame([("History of chest pain.", "chest pain"), ("Patient denies chest pain.", "chest pain"), ("Her mother had chest pain.", "chest pain"), ("x", None)], "s string, c string")
     got = [tuple(r) for r in context.classified(df, "s", "c").select("assertion", "temporality", "experiencer").collect()]
