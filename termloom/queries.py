@@ -284,9 +284,9 @@ def a1_abbreviations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def a4_propagation(spark: SparkSession, d: str) -> DataFrame:
-    m = _mentions(spark, d)
-    defs = m.where("passage_id % 3 = 0 and length > 8").select("passage_id", F.lit("Dose").alias("short"), F.lit(0).alias("short_start"), F.col("term").alias("long"), F.col("start").alias("long_start")).distinct()
-    return abbreviation.propagated(m, defs, _passages(spark, d)).select("passage_id", "start", "length", "term", "cui")
+    """Mentions copied to the short forms that the passages define."""
+    p = _passages(spark, d)
+    return abbreviation.propagated(_mentions(spark, d), abbreviation.definitions(p), p).select("passage_id", "start", "length", "term", "cui")
 
 
 def a6_user_acronyms(spark: SparkSession, d: str) -> DataFrame:

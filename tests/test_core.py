@@ -118,6 +118,15 @@ def test_abbreviations(spark):
     assert {(r["start"], r["term"]) for r in m.collect()} == {(0, "type 2 diabetes mellitus"), (26, "T2DM"), (43, "T2DM")}
 
 
+def test_propagation_query(spark, tmp_path):
+    from termloom import queries
+
+    passages(spark, "x", "Type 2 diabetes mellitus (T2DM) is common. T2DM is treatable.", "Pneumonia again.", "Pneumonia of long standing.").write.parquet(f"{tmp_path}/passages.parquet")
+    names(spark).write.parquet(f"{tmp_path}/cuisourceinfo.parquet")
+    got = queries.a4_propagation(spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, 26, 4, "T2DM", "C2"), (1, 43, 4, "T2DM", "C2")}
+
+
 def test_meta_tokens(spark):
     df = spark.createDataFrame([(["no", "-", "b", "c", " ", "x", "."],)], "t array<string>")
     assert df.select(negation.meta_tokens(F.col("t"), ("no",)).alias("x")).first()["x"] == ["no-bc", "x"]
