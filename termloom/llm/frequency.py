@@ -14,6 +14,7 @@ are kept whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from termloom.session import kept
 
 CAPACITY = 4096
+#: Terms a task holds before it emits what it has.
+MOST_HELD = 2_000_000
 
 
 class BurstTrie:
@@ -90,16 +93,25 @@ def _frames(tries: dict[str, BurstTrie], size: int = 20_000) -> Iterator[pd.Data
             yield pd.DataFrame(rows, columns=["field", "term", "occurrences", "records"])
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pd.DataFrame], most: int = MOST_HELD, in_order: bool = False) -> Iterator[pd.DataFrame]:
+    """Counts of the rows' terms. A task with more than ``most`` terms emits them and begins again, so
+    a term may come out several times; not so with ``in_order``, for rows sorted by (field, term):
+    of those every term but the last is complete, and the last one is held back."""
     tries: dict[str, BurstTrie] = {}
     for b in batches:
         for field, part in b.groupby("field", sort=False):
             add = tries.setdefault(str(field), BurstTrie()).add
             for term, o, r in zip(part["term"], part["occurrences"], part["records"], strict=True):
                 add(term, o, r)
-        if sum(map(_held, tries.values())) > 2_000_000:  # a task's memory: emit and begin again
-            yield from _frames(tries)
-            tries = {}
+        if sum(map(_held, tries.values())) > most:  # a task's memory: emit and begin again
+            open_ = (str(b["field"].iloc[-1]), b["term"].iloc[-1]) if in_order else None
+            rest: dict[str, BurstTrie] = {}
+            for f in _frames(tries):
+                last = (f["field"] == open_[0]) & (f["term"] == open_[1]) if open_ else pd.Series(False, index=f.index)
+                for field, term, o, r in f[last].itertuples(index=False):
+                    rest.setdefault(field, BurstTrie()).add(term, int(o), int(r))
+                yield f[~last]
+            tries = rest
     yield from _frames(tries)
 
 
@@ -117,16 +129,18 @@ def _held(t: BurstTrie) -> int:
 SCHEMA = "field string, term string, occurrences bigint, records bigint"
 
 
-def term_counts(df: DataFrame, partitions: int | None = None) -> DataFrame:
+def term_counts(df: DataFrame, partitions: int | None = None, most: int = MOST_HELD) -> DataFrame:
     """(field, term, occurrences, records) of rows (field, term, occurrences, records).
 
     Terms reach their merging worker by range, so that matching subtrees meet; the ranges follow the
-    counted terms, which were written once for that.
+    counted terms, which were written once for that. A range comes sorted, so that it may hold more
+    terms than a task can.
     """
     rows = df.where("term is not null").select("field", "term", F.col("occurrences").cast("bigint"), F.col("records").cast("bigint"))
-    partial = kept(rows.mapInPandas(_count, SCHEMA), "tries")
+    counted = kept(rows.mapInPandas(partial(_count, most=most), SCHEMA), "tries")
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartitionByRange(n, "field", "term").mapInPandas(_count, SCHEMA)
+    ranges = counted.repartitionByRange(n, "field", "term").sortWithinPartitions("field", "term")
+    return ranges.mapInPandas(partial(_count, most=most, in_order=True), SCHEMA)
 
 
 def latest_counts(tf: DataFrame) -> DataFrame:

@@ -193,6 +193,18 @@ def test_term_counts(spark):
     assert got == {("f", "a"): (4, 2), ("f", ""): (2, 1), ("f", "ab"): (2, 1), ("f", "x" * 5000): (2, 1), ("g", "a"): (1, 1)}
 
 
+def test_term_counts_of_more_terms_than_held(spark):
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        rows = [(f, t, 1, 1) for _ in range(3) for f in "fg" for t in "abcdefghij"]
+        df = spark.createDataFrame(rows, "field string, term string, occurrences int, records int").repartition(3)
+        got = sorted(tuple(r) for r in frequency.term_counts(df, partitions=1, most=3).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert got == [(f, t, 3, 3) for f in "fg" for t in "abcdefghij"]
+
+
 # --- 8
 
 
