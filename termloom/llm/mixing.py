@@ -97,11 +97,14 @@ def mix(docs: DataFrame, targets: DataFrame, path: str, block: int | None = None
 
 def report(mixed: DataFrame, plan_: list[dict]) -> DataFrame:
     """(source, target_share, tokens, wanted, mixed_tokens, share, short): what each source reached;
-    ``short`` where even all its repeats hold fewer tokens than its share asks for."""
+    ``short`` where the mix gives it less than its share asks for and even all its repeats hold fewer
+    tokens than that (a mix in whole blocks may miss a share by some tokens without that)."""
     spark = mixed.sparkSession
     got = mixed.groupBy("source").agg(F.sum("n").alias("mixed_tokens"))
     rows = [(p["source"], float(p["share"]), int(p["tokens"]), float(p["wanted"]), bool(p["repeats"] * p["tokens"] < p["wanted"])) for p in plan_]
-    base = spark.createDataFrame(rows, "source string, target_share double, tokens bigint, wanted double, short boolean")
+    base = spark.createDataFrame(rows, "source string, target_share double, tokens bigint, wanted double, limited boolean")
     all_ = Window.partitionBy()  # as many rows as there are sources
     full = base.join(got, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
-    return full.withColumn("share", F.coalesce(F.col("mixed_tokens") / F.sum("mixed_tokens").over(all_), F.lit(0.0)))
+    full = full.withColumn("short", F.col("limited") & (F.col("mixed_tokens") < F.col("wanted")))
+    full = full.withColumn("share", F.coalesce(F.col("mixed_tokens") / F.sum("mixed_tokens").over(all_), F.lit(0.0)))
+    return full.select("source", "target_share", "tokens", "wanted", "short", "mixed_tokens", "share")

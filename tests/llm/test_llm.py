@@ -238,6 +238,13 @@ def test_mix(spark):
     assert mixing.mix(df.limit(0), targets, tokens.tokenizer_path())[0].count() == 0
 
 
+def test_short_follows_the_mix(spark):
+    plan = [{"source": s, "share": 0.5, "repeats": 1, "tokens": n, "docs": 1, "total": 100, "wanted": 50.0, "due": float(min(50, n))} for s, n in (("a", 90), ("b", 10))]
+    short = lambda n: mixing.report(spark.createDataFrame([("a", 50), ("b", n)], "source string, n bigint"), plan).where("short").select("source")
+    assert [r["source"] for r in short(10).collect()] == ["b"] and not short(50).collect()
+    assert "Join" in short(10)._jdf.queryExecution().optimizedPlan().toString()
+
+
 # --- 10
 
 
