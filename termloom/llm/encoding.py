@@ -278,6 +278,10 @@ def vocabulary(texts: list[DataFrame]) -> DataFrame:
     return counted.withColumn("bad", F.pandas_udf(_scored, "int")("unit"))
 
 
+#: A unit and its word both of Cyrillic letters alone: one read as the other in two 8-bit Cyrillic sets.
+CYRILLIC = r"(unit rlike '^\\p{IsCyrillic}+$' and word rlike '^\\p{IsCyrillic}+$')"
+
+
 def repairs(vocab: DataFrame) -> DataFrame:
     """(unit, original): garbled units with what they were; original null where that is lost."""
     v = vocab
@@ -286,7 +290,7 @@ def repairs(vocab: DataFrame) -> DataFrame:
     cores = v.sparkSession.sparkContext.defaultParallelism
     # few bytes, much work: by size alone these rows would be one task
     table = folds.select("unit", "n").repartition(cores * 2).mapInPandas(_word_forms, "unit string, word string, word_n bigint")
-    met = v.join(table, "unit").where("bad > 0 or word_n >= 2 * n and word_n >= 3 and length(unit) > 3 and unit rlike '[A-Za-z]'")
+    met = v.join(table, "unit").where(f"bad > 0 or word_n >= 2 * n and word_n >= 3 and length(unit) > 3 and (unit rlike '[A-Za-z]' or {CYRILLIC})")
     met = met.where("word <> unit")
     by_word = met.groupBy("unit").agg(F.max_by("word", F.struct("word_n", "word")).alias("original"))
     chars = clean.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("char")).where("char rlike '[^\\\\x00-\\\\x7f]'").distinct()

@@ -169,6 +169,13 @@ def test_encoding(spark):
     assert got["EntzÃ¼ndung der Leber"] == "Entzündung der Leber" and got["Áîëåçíü Ëàâåòèáó"] == "Болезнь Лаветибу" and got["MÃƒÂ¶bel"].endswith("bel")
 
 
+def test_encoding_between_cyrillic_sets(spark):
+    rows = ["опухоль лёгкого"] * 6 + ["НОСУНКЭ", "жалоб нет"]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, text string")
+    fixes = encoding.corpus_repairs([df.select("text")])
+    assert [(r["id"], r["repaired"]) for r in encoding.repaired(df, "id", "text", fixes).collect()] == [(6, "опухоль")]
+
+
 def test_encoding_round_trip():
     for chain in encoding.UTF8_AS + encoding.TWICE:
         assert encoding._undone(encoding.garbled("Größe", chain), chain) == "Größe"
