@@ -5,7 +5,10 @@ Positions are 0-based code points. Nothing here leaves the JVM.
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,10 @@ SPACE_ALL = r"\x85" + SPACE
 _PUNCT_CLASS = r"~!@#$%^&*()_+\-=|\\<>?/,.`';:\[\]{}" + '"'
 SEPARATOR = _PUNCT_CLASS + SPACE
 
+# A sentence ends at a run of terminators, closing marks and white space; what must follow.
+BOUNDARY = rf"([.?!]+)([\"')\]]*)([{SPACE_ALL}]+)"
+_ENDS = rf"(?<![.?!])([.?!]++)([\"')\]]*+)([{SPACE_ALL}]++)"  # the same, tried once for a run of marks
+OPENING = r"[\"'(\[]*[A-Z0-9]"
 # Token classes in the order they are tried.
 TOKEN_CLASSES = (
     ("ws", r"^[ \t\n\x0b\f\r]$"),
@@ -40,20 +47,48 @@ TOKEN_CLASSES = (
     ("pd", r"^\.$"),
     ("pn", r"^[()!@#$%^&*+=\-_\[\]{}.,?/']+$"),
 )
-#: Marks the places where a text is cut; a control character no text format carries.
-_CUT = "\x01"
+#: Marks the places where a text is cut. A text that holds the mark itself is cut as if it held
+#: ``_STANDIN`` there, another control character, and the pieces are then taken from the text by position.
+_CUT, _STANDIN = "\x01", "\x02"
+#: Pieces per block of a running sum over an array.
+_BLOCK = 64
 
 
 def _trimmed_span(piece: Column, start: Column) -> Column:
-    lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^[{SPACE_ALL}]+", ""))
-    return F.struct((start + lead).cast("int").alias("start"), F.regexp_replace(piece, f"^[{SPACE_ALL}]+|[{SPACE_ALL}]+$", "").alias("text"))
+    lead = F.length(piece) - F.length(F.regexp_replace(piece, f"^[{SPACE_ALL}]++", ""))
+    return F.struct((start + lead).cast("int").alias("start"), F.regexp_replace(piece, f"^[{SPACE_ALL}]++|(?<![{SPACE_ALL}])[{SPACE_ALL}]++$", "").alias("text"))
+
+
+def _starts(lengths: Column) -> Column:
+    """array<int>: the sum of all lengths before each one.
+
+    An array grows by copying, so a sum is carried over blocks first and within a block next: the work
+    stays in proportion to the array up to millions of pieces."""
+
+    def running(a: Column) -> Column:
+        init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(a, init, lambda x, n: F.struct((x["at"] + n).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out")), lambda x: x["out"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda k: F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK)))
+    sums = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, n: x + n)))
+    long = F.flatten(F.zip_with(blocks, sums, lambda b, at: F.transform(running(b), lambda x: x + at)))
+    return F.when(F.size(lengths) <= _BLOCK, running(lengths)).otherwise(long)
 
 
 def _spans(pieces: Column) -> Column:
     """array<struct<start,text>>: consecutive pieces with the position each begins at."""
-    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
-    step = lambda a, p: F.struct((a.at + F.length(p)).alias("at"), F.concat(a.out, F.array(F.struct(a.at.alias("start"), p.alias("text")))).alias("out"))
-    return F.aggregate(pieces, init, step, lambda a: a.out)
+    return F.zip_with(_starts(F.transform(pieces, F.length)), pieces, lambda at, p: F.struct(at.alias("start"), p.alias("text")))
+
+
+def _cuttable(text: Column) -> Column:
+    """The text without the mark; positions stay."""
+    return F.translate(text, _CUT, _STANDIN)
+
+
+def _stored(spans: Column, text: Column) -> Column:
+    """The spans with the text as stored."""
+    own = F.transform(spans, lambda p: F.struct(p["start"].alias("start"), F.substring(text, p["start"] + 1, F.length(p["text"])).alias("text")))
+    return F.when(text.contains(_CUT), own).otherwise(spans)
 
 
 def sentences(text: Column) -> Column:
@@ -62,19 +97,18 @@ def sentences(text: Column) -> Column:
     A boundary is a run of terminators, optional closing marks and white space before a capital, a
     digit or an opening mark; one that begins with a full stop is none after an abbreviation or a
     single letter. Sentences are trimmed; empty ones are dropped; null gives null."""
-    cut = F.regexp_replace(text, rf"([.?!]+)([\"')\]]*)([{SPACE_ALL}]+)(?=[\"'(\[]*[A-Z0-9])", f"$1$2{_CUT}$3{_CUT}")
+    cut = F.regexp_replace(_cuttable(text), f"{_ENDS}(?={OPENING})", f"$1$2{_CUT}$3{_CUT}")
     words = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
     guard = rf"(?i)(?<![^{SPACE_ALL}{_CUT}])((?:{words})|\p{{L}})\.([.?!]*)([\"')\]]*){_CUT}([{SPACE_ALL}]+){_CUT}"
     joined = F.regexp_replace(cut, guard, "$1.$2$3$4")
     pieces = _spans(F.split(joined, _CUT))
     trimmed = F.transform(pieces, lambda p: _trimmed_span(p["text"], p["start"]))
-    return F.filter(trimmed, lambda p: F.length(p["text"]) > 0)
+    return _stored(F.filter(trimmed, lambda p: F.length(p["text"]) > 0), text)
 
 
 def _cut_lines(text: Column, pattern: str) -> Column:
-    marked = F.regexp_replace(text, f"({pattern})", f"{_CUT}$1{_CUT}")
-    pieces = _spans(F.split(marked, _CUT))
-    return F.transform(F.filter(F.transform(pieces, lambda p, i: F.struct(p["start"].alias("start"), p["text"].alias("text"), i.alias("i"))), lambda p: p["i"] % 2 == 0), lambda p: F.struct(p["start"].cast("int").alias("start"), p["text"].alias("text")))
+    pieces = _spans(F.split(F.regexp_replace(_cuttable(text), f"({pattern})", f"{_CUT}$1{_CUT}"), _CUT))
+    return _stored(F.filter(pieces, lambda p, i: i % 2 == 0), text)
 
 
 def blank_line_blocks(text: Column) -> Column:
@@ -87,12 +121,42 @@ def lines(text: Column) -> Column:
     return F.filter(_cut_lines(text, r"\r\n|\r|\n"), lambda p: F.length(F.regexp_replace(p["text"], f"[{SPACE_ALL}]+", "")) > 0)
 
 
+Segmenter = Callable[[Column], Column]
+_SEGMENTERS: dict[str, Segmenter] = {}
+
+
+def register_segmenter(name: str, spans: Callable[[str], list[tuple[int, int]]]) -> None:
+    """T4: a sentence detector of one's own, ``text -> [(start, end)]``, under a new name. It runs over
+    Arrow batches; spans out of the text's bounds are an error."""
+    if name.upper() in ("SENTENCES", "BLANKLINES", "LINES"):
+        raise ValueError(f"{name} is built in")
+
+    def cut(text: str | None) -> list[dict] | None:
+        if text is None:
+            return None
+        found = spans(text)
+        if any(not 0 <= a <= b <= len(text) for a, b in found):
+            raise ValueError(f"a span of {name} lies outside its text")
+        return [{"start": a, "text": text[a:b]} for a, b in found]
+
+    def column(text: Column) -> Column:
+        import pandas as pd
+
+        @F.pandas_udf("array<struct<start:int,text:string>>")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(cut)
+
+        return run(text)
+
+    _SEGMENTERS[name.upper()] = column
+
+
 def segment(text: Column, method: str = "SENTENCES") -> Column:
-    """One of SENTENCES, BLANKLINES and LINES; any other name is refused."""
-    known = {"SENTENCES": sentences, "BLANKLINES": blank_line_blocks, "LINES": lines}
-    if method not in known:
+    """One of SENTENCES, BLANKLINES, LINES and the registered ones; any other name is refused."""
+    known = {"SENTENCES": sentences, "BLANKLINES": blank_line_blocks, "LINES": lines} | _SEGMENTERS
+    if method.upper() not in known:
         raise ValueError(f"segmentation method {method!r} is none of {sorted(known)}")
-    return known[method](text)
+    return known[method.upper()](text)
 
 
 def token_texts(text: Column) -> Column:
@@ -100,6 +164,16 @@ def token_texts(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"([^{SEPARATOR}]+|[{SEPARATOR}])"), F.lit(1))
 
 
+def without_blanks(tokens: Column) -> Column:
+    """The tokens that are no white space."""
+    return F.filter(tokens, lambda w: ~w.rlike(TOKEN_CLASSES[0][1]))
+
+
+def joined(tokens: Column) -> Column:
+    """The text of tokens."""
+    return F.array_join(tokens, "")
+
+
 def token_class(token: Column) -> Column:
     c = F.when(token.rlike(TOKEN_CLASSES[0][1]), TOKEN_CLASSES[0][0])
     for name, pattern in TOKEN_CLASSES[1:]:
@@ -166,6 +240,34 @@ def normalize(text: Column) -> Column:
     return F.when(plainly, F.lower(text)).otherwise(full)
 
 
+@lru_cache(maxsize=1)
+def _greek() -> dict[int, str]:
+    return {ord(k): v for k, v in greek_names().items()}
+
+
+_TAG = re.compile(r"\[(?:X|V|D|M|EDTA|SO|Q)\]")
+_MORE = re.compile("[\u0370-\u03ff\\[$|~\t\n\r\f']|  |^ | $")
+_WORDS = re.compile(r"[ \t\n\r\f$|~]+")
+
+
+def _unpossessed(w: str) -> str:
+    if w.endswith("'s"):
+        return w[:-2] if w[-3:-2].isalnum() else w
+    return w[:-1] if w.endswith("s'") else w
+
+
+def keys_of(text: str) -> list[str]:
+    """``lookup_keys`` of one text, for Arrow functions."""
+    low = text.lower()
+    if not _MORE.search(text):
+        return [low]
+    spelled = text.translate(_greek())
+    tag = _TAG.match(spelled)
+    plain = spelled[tag.end() :] if tag else re.sub(" +", " ", spelled)
+    normal = " ".join(_unpossessed(w) for w in _WORDS.split(plain.lower()) if w)
+    return [low] if normal == low else [low, normal]
+
+
 def lookup_keys(text: Column) -> Column:
     """The keys a text is looked up by: its lower case, and its normal form if that differs."""
     return F.array_distinct(F.array(F.lower(text), normalize(text)))
@@ -194,8 +296,14 @@ def read_lines(text: Column) -> Column:
 
 
 def doc_hash(text: Column) -> Column:
-    """The 31-polynomial hash of a string, 32 bits unsigned, over its UTF-16 units below U+10000."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), lambda h, c: (h * 31 + F.when(c == "", 0).otherwise(F.ascii(c))).bitwiseAND(F.lit(0xFFFFFFFF)))
+    """The 31-polynomial hash of a string, 32 bits unsigned, over its UTF-16 units."""
+
+    def step(h: Column, c: Column) -> Column:
+        o = F.when(c == "", 0).otherwise(F.ascii(c)).cast("bigint")
+        two = (h * 31 + F.shiftright(o - 0x10000, 10) + 0xD800) * 31 + (o - 0x10000) % 1024 + 0xDC00
+        return F.when(o > 0xFFFF, two).otherwise(h * 31 + o).bitwiseAND(F.lit(0xFFFFFFFF))
+
+    return F.aggregate(F.split(text, ""), F.lit(0).cast("bigint"), step)
 
 
 def hash_bucket(h: Column, size: Column) -> Column:
@@ -204,3 +312,11 @@ def hash_bucket(h: Column, size: Column) -> Column:
     cap = F.pow(F.lit(2.0), steps + 4).cast("bigint")
     spread = h.bitwiseXOR(F.shiftrightunsigned(h, 16))
     return spread.bitwiseAND(cap - 1)
+
+
+def hash_ordered(items: Column) -> Column:
+    """The distinct strings of an array in the order of a hash table they were put into one by one."""
+    one = F.array_distinct(items)
+    n = F.size(one).cast("bigint")
+    keyed = F.transform(one, lambda x, i: F.struct(hash_bucket(doc_hash(x), n).alias("b"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda k: k["x"])

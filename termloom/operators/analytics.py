@@ -55,11 +55,52 @@ def top_concepts(evidence: DataFrame, concepts: DataFrame, top: int) -> DataFram
     return n.join(concepts, "cui").orderBy(F.col("n").desc(), "cui").limit(top)
 
 
-def numbered(df: DataFrame, order: list[str], to: str, buckets: int = 64) -> DataFrame:
-    """F8: a global rank by ``order``, without one task for all rows: ranges are numbered by their
-    sizes first, rows within their range next."""
-    ranged = kept(df.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()), "ranged")  # numbered once for both readers
-    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as ranges
-    base = sizes.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.join(F.broadcast(base), "_p").withColumn(to, F.col("_b") + own).drop("_p", "_b")
+def resolved_terms(terms: DataFrame, term: str, dict_: DataFrame, concepts: DataFrame, types_: DataFrame) -> DataFrame:
+    """(term, cui, preferred_name, semantic_types): every concept a bare term leads to, each once."""
+    from termloom.operators import dictionary as D
+    from termloom.operators import match
+
+    hit = D.preferred(match.looked_up(terms, term, dict_).select(term, "cui").distinct(), concepts)
+    return hit.join(D.semantic_types(types_), "cui", "left").select(term, "cui", "preferred_name", F.coalesce("semantic_types", F.array()).alias("semantic_types"))
+
+
+def search_log(search_id: str, ran_at: str, term: str | None, corpus: str, found: DataFrame, resolved: DataFrame) -> dict[str, DataFrame]:
+    """The tables one search adds to a log: search, concepts, documents and console. ``found``: a
+    cohort; ``resolved``: (cui, preferred_name, semantic_types) of its targets."""
+    sid = F.lit(search_id).alias("search_id")
+    cuis = resolved.agg(F.array_join(F.array_sort(F.collect_set("cui")), ",").alias("cuis"))  # the targets asked for
+    n = found.agg(F.count(F.lit(1)).alias("n_documents"), *[F.count_if(F.col("status") == v).alias(c) for v, c in (("affirmed", "n_affirmed"), ("negated_only", "n_negated"), ("absent", "n_absent"))])
+    search = n.join(cuis).select(sid, F.lit(ran_at).alias("ran_at"), F.lit(term).cast("string").alias("term"), "cuis", F.lit(corpus).alias("corpus"), "n_documents", "n_affirmed", "n_negated", "n_absent")
+    rows = found.where("status <> 'absent'").select(sid, F.col("docid").alias("source"), "status", "n_affirmed", "n_negated")
+    said = n.select(sid, F.posexplode(F.array(F.format_string("%d documents", "n_documents"), F.format_string("%d affirmed", "n_affirmed"), F.format_string("%d negated only", "n_negated"), F.format_string("%d absent", "n_absent"))).alias("line_no", "line"))
+    return {"search": search, "concepts": resolved.select(sid, "cui", "preferred_name", F.array_join("semantic_types", ",").alias("semantic_types")), "documents": rows, "console": said.withColumn("line_no", F.col("line_no") + 1)}
+
+
+def append_log(tables: dict[str, DataFrame], path: str) -> None:
+    """The tables added below ``path``; the row of ``search`` is written last, so a search that broke
+    off is not listed."""
+    for name in ("concepts", "documents", "console", "search"):
+        tables[name].write.mode("append").parquet(f"{path}/{name}")
+
+
+def running(df: DataFrame, group: list[str], order: list[str], to: str, size: str | None = None, ranges: int | None = None) -> DataFrame:
+    """``to``: the sum of ``size`` (or the number) of the rows before each row of its group in an order,
+    without one task for a group, however many rows it has: rows are put into ranges by group and
+    order, each range is summed, and within a range rows are summed on their own. As many ranges as
+    the session has shuffle partitions, unless given."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = kept(df.repartitionByRange(n, *group, *order).withColumn("_p", F.spark_partition_id()), "ranged")  # read twice
+    s = F.col(size) if size else F.lit(1)
+    sums = ranged.groupBy("_p", *group).agg(F.sum(s).alias("_n"))  # a row for each range and group in it
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.withColumn("_b", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_b")
+    own = F.coalesce(F.sum(s).over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    on = F.col("_p") == F.col("_q")
+    for i, c in enumerate(group):
+        on = on & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return ranged.withColumn("_o", own).join(base, on).select(*df.columns, (F.col("_o") + F.col("_b")).alias(to))
+
+
+def numbered(df: DataFrame, order: list[str], to: str, ranges: int | None = None) -> DataFrame:
+    """F8: a global rank by ``order``, from 1."""
+    return running(df, [], order, to, None, ranges).withColumn(to, F.col(to) + 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -13,11 +16,21 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    for d in _OWN:
+        shutil.rmtree(d, ignore_errors=True)
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder for checkpoints and intermediate tables.
 
     A cluster names a folder shared by all executors in ``spark.checkpoint.dir``. Only where that
-    setting is absent (tests, a laptop) a local folder is made.
+    setting is absent and Spark runs in this one process (tests, a laptop) a local folder is made, and
+    removed at the end; on a cluster it is an error, since each executor would see its own.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +40,10 @@ def scratch(spark: SparkSession) -> str:
         return named
     at = sc._jsc.sc().getCheckpointDir()
     if at.isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="termloom-"))
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        _OWN.append(tempfile.mkdtemp(prefix="termloom-"))
+        sc.setCheckpointDir(_OWN[-1])
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
 
@@ -48,11 +64,25 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_of(df: DataFrame) -> int | None:
+    """Bytes a plan reads as the optimizer knows them from file sizes, None if it doesn't. Runs nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return n if n < 1 << 60 else None
+
+
+def partitions_of(df: DataFrame, per_core: int = 2, split: int = 64 << 20) -> int:
+    """Partitions for costly row-wise work: enough for all cores, and none much over ``split`` bytes of
+    files."""
+    return max(df.sparkSession.sparkContext.defaultParallelism * per_core, (size_of(df) or 0) // split)
+
+
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """More partitions for costly row-wise work where the scan yields fewer than the cluster has cores.
+    """More partitions for costly row-wise work where the input has fewer splits than the cluster has cores.
 
-    Large inputs have more splits than cores and pass unchanged, so the shuffle is only ever paid
-    on inputs of a few hundred MB.
-    """
+    Decided by file sizes, without running anything: large inputs have more splits than cores and pass
+    unchanged, so the shuffle is only ever paid on inputs of a few hundred MB."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores * per_core) if df.rdd.getNumPartitions() < cores else df
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = size_of(df)
+    return df.repartition(cores * per_core) if size is not None and size < cores * split else df

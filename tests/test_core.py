@@ -79,7 +79,7 @@ def test_subsumption_equals_pairs(spark):
 
 
 def test_negation(spark):
-    p = passages(spark, "No pneumonia but diabetes persists.", "Pneumonia was ruled out.", "No change in pneumonia.")
+    p = passages(spark, "No pneumonia but diabetes persists.", "Pneumonia was ruled out.", "Pneumonia was not ruled out.")
     s = match.sentence_rows(p)
     m = match.matches(match.candidates(s), match.dictionary(names(spark)))
     got = {(r["passage_id"], r["cui"]): r["negated"] for r in negation.negated(m, s, negation.lexicon(spark)).collect()}
@@ -104,10 +104,72 @@ def test_queries_with_the_whole_lexicon(spark, tmp_path):
         negation.triggers(match.sentence_rows(passages(spark, "x")), many)
 
 
+STRICT = """No chest pain.|Negated|Recent|Patient
+absence of chest pain.|Negated|Recent|Patient
+The patient denies chest pain.|Negated|Recent|Patient
+no chest pain but fever|Negated|Recent|Patient
+no  chest   pain|Negated|Recent|Patient
+History of chest pain.|Affirmed|Historical|Patient
+if chest pain recurs, return.|Affirmed|Hypothetical|Patient
+Her mother had chest pain.|Affirmed|Recent|Other
+chest pain is ruled out.|Affirmed|Recent|Patient
+possible chest pain.|Affirmed|Recent|Patient
+chest pain is unlikely.|Affirmed|Recent|Patient
+gram negative chest pain|Affirmed|Recent|Patient
+no increase in chest pain|Affirmed|Recent|Patient
+CHEST PAIN denied|Affirmed|Recent|Patient
+for the past 3 months of chest pain|Affirmed|Recent|Patient
+since last june chest pain|Affirmed|Recent|Patient
+previous chest pain|Affirmed|Recent|Patient
+chest pain, no fever|Affirmed|Recent|Patient"""
+LOOSE = """pneumonia|No evidence of pneumonia.|Negated|Recent|Patient
+pneumonia|Without evidence of pneumonia.|Negated|Recent|Patient
+pneumonia|Negative for pneumonia.|Negated|Recent|Patient
+pneumonia|Denies pneumonia.|Negated|Recent|Patient
+pneumonia|Admitted with pneumonia.|Affirmed|Recent|Patient
+pneumonia|Pneumonia was ruled out.|Negated|Recent|Patient
+pneumonia|Rule out pneumonia.|Possible|Recent|Patient
+pneumonia|Plan: r/o pneumonia, recheck.|Possible|Recent|Patient
+pneumonia|Cannot exclude pneumonia.|Possible|Recent|Patient
+pneumonia|Pneumonia cannot be excluded.|Possible|Recent|Patient
+pneumonia|Findings concerning for pneumonia.|Possible|Recent|Patient
+pneumonia|Pneumonia is suspected.|Possible|Recent|Patient
+pneumonia|Absent pneumonia.|Negated|Recent|Patient
+infection|no gram negative infection.|Negated|Recent|Patient
+fatigue|Patient had 3 months of fatigue.|Affirmed|Historical|Patient
+cough|Present for the past 20 days of cough.|Affirmed|Historical|Patient
+fatigue|Patient has had fatigue since last march.|Affirmed|Historical|Patient
+stroke|Patient with previous stroke.|Affirmed|Historical|Patient
+stroke|previous surgery, now stroke.|Affirmed|Recent|Patient
+cough|Seen after 114 days of rest; cough today.|Affirmed|Recent|Patient
+family history of hypertension|Family history of hypertension in mother.|Affirmed|Historical|Other
+no known allergies|No known allergies.|Affirmed|Recent|Patient
+allergies|No known allergies.|Negated|Recent|Patient"""
+
+
 def test_context(spark):
     df = spark.createDataFrame([("History of chest pain.", "chest pain"), ("Patient denies chest pain.", "chest pain"), ("Her mother had chest pain.", "chest pain"), ("x", None)], "s string, c string")
     got = [tuple(r) for r in context.classified(df, "s", "c").select("assertion", "temporality", "experiencer").collect()]
     assert got == [("Affirmed", "Historical", "Patient"), ("Negated", "Recent", "Patient"), ("Affirmed", "Recent", "Other"), (None, None, None)]
+    for line in STRICT.splitlines():
+        sentence, *want = line.split("|")
+        assert context.rules().classify(sentence, "chest pain") == tuple(want), line
+    for line in LOOSE.splitlines():
+        concept, sentence, *want = line.split("|")
+        assert context.rules(strict=False).classify(sentence, concept) == tuple(want), line
+    assert context.rules().classify("", "x") is context.rules().classify("x", "") is context.rules().classify("abc", "x") is None
+
+
+def test_context_of_mentions(spark):
+    p = passages(spark, "Family history of pneumonia. Pneumonia today.", "Denies: \n- diabetes mellitus\n- us today\n pneumonia")
+    s = match.sentence_rows(p)
+    m = match.found(s, match.dictionary(names(spark)))
+    rows = lambda strict: {(r["passage_id"], r["start"], r["cui"]): (r["negated"], r["experiencer"]) for r in context.detected(m, s, strict).collect()}
+    own, every = rows(False), rows(True)
+    assert own[0, 18, "C3"] == (False, "Other") and own[0, 29, "C3"] == (False, "Patient")
+    assert every[0, 18, "C3"] == every[0, 29, "C3"] == (False, "Patient")  # the last sentence holds
+    context.register_classifier("shout", lambda sent, spans: [{"assertion": "Negated", "temporality": None, "experiencer": None} if sent[a:b].isupper() else None for a, b in spans])
+    assert not any(r["negated"] for r in context.detector("shout")(m, s).collect())
 
 
 def test_abbreviations(spark):
@@ -127,9 +189,107 @@ def test_propagation_query(spark, tmp_path):
     assert {tuple(r) for r in got} == {(1, 26, 4, "T2DM", "C2"), (1, 43, 4, "T2DM", "C2")}
 
 
-def test_meta_tokens(spark):
-    df = spark.createDataFrame([(["no", "-", "b", "c", " ", "x", "."],)], "t array<string>")
-    assert df.select(negation.meta_tokens(F.col("t"), ("no",)).alias("x")).first()["x"] == ["no-bc", "x"]
+def test_meta_tokens():
+    scan = negation.scanner()
+    words = lambda t: [w for _, _, w in scan.words(t, match.token_spans(t))]
+    assert words("No b.i.d. dosing (T2DM).") == ["no", "b.i", "d", "dosing", "(t2dm)"]
+    assert words("no. sign") == ["no", "sign"] and words("") == []
+
+
+def test_negation_golden():
+    scan, wide = negation.scanner(), negation.scanner(reach=10)
+
+    def says(text, span, by=scan):
+        tell = by.flag(text, match.token_spans(text))
+        at = text.index(span)
+        return bool(tell and tell(at, at + len(span)))
+
+    yes = [("There was no sign of pneumonia.", "pneumonia"), ("She denies chest pain.", "chest pain"), ("No history of myocardial infarction.", "myocardial infarction"), ("Pneumonia was ruled out.", "Pneumonia"), ("This rules out pneumonia.", "pneumonia")]
+    no = [("She has chest pain.", "chest pain"), ("Please rule out pneumonia.", "pneumonia"), ("Pneumonia was not ruled out.", "Pneumonia"), ("No fever but pneumonia persists.", "pneumonia"), ("No evidence of a b c d e f pneumonia.", "pneumonia")]
+    assert all(says(*c) for c in yes) and not any(says(*c) for c in no)
+    assert says("No evidence of a b c d e f pneumonia.", "pneumonia", wide)
+    # a phrase that stands somewhere counts where a longer one hides it, too
+    own = negation.Scanner([(["no"], "nega"), (["no", "change"], "pnega")])
+    assert not says("No change in fever today.", "fever", own) and says("No change in fever, no rash.", "fever", own)
+
+
+def test_negation_flags_equal_the_join(spark):
+    texts = ["No pneumonia but diabetes persists.", "Pneumonia was ruled out. Diabetes denied.", "US. Denies type 2 diabetes mellitus, pneumonia.", "Pneumonia-free b.i.d. No US."]
+    s = match.sentence_rows(passages(spark, *texts))
+    d = match.dictionary(names(spark))
+    keys = ["passage_id", "start", "length", "cui", "negated"]
+    joined = negation.negated(match.matches(match.candidates(s), d), s)
+    inline = negation.scoped(match.found(s, d, flag=negation.scanner().flag), scope=None)
+    rows = lambda df: sorted(map(tuple, df.select(*keys).collect()))
+    assert rows(joined) == rows(inline) and any(r[-1] for r in rows(inline))
+
+
+def test_key_filter_has_every_key(spark):
+    keys = [f"k{i}" for i in range(3000)] + ["naïve α", ""]
+    known = match.key_filter(spark.createDataFrame([(k,) for k in keys] + [(None,)], "norm string"))
+    assert all(k in known for k in keys)
+    assert sum(f"x{i}" in known for i in range(3000)) < 100
+
+
+def test_keys_in_python_equal_the_columns(spark):
+    hard = ["Alzheimer's disease", "[X]Other  disorders", "TNF-α", " a ", "boys' home", "'s", "x|y~z$ w", "ΑΣ ΟΔΟΣ", "É'S", "a\tb", "[SO]α's", "s'", "İx", "\x01'"]
+    got = spark.createDataFrame([(t,) for t in hard], "t string").select("t", T.lookup_keys(F.col("t")).alias("k")).collect()
+    assert [(r["t"], T.keys_of(r["t"])) for r in got] == [(r["t"], r["k"]) for r in got]
+
+
+def test_text_with_the_cut_mark(spark):
+    got = one(spark, T.sentences, "Ab\x01 cd. Ef\x01 gh.")
+    assert [(r["start"], r["text"]) for r in got] == [(0, "Ab\x01 cd."), (8, "Ef\x01 gh.")]
+    assert [(r["start"], r["text"]) for r in one(spark, T.lines, "a\x01b\nc\x01")] == [(0, "a\x01b"), (4, "c\x01")]
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        df = spark.createDataFrame([("The dose was kept, no sign of it. " * n,)], "t string").coalesce(1)
+        best = 1e9
+        for _ in range(2):
+            t = time.perf_counter()
+            df.select(F.size(T.sentences(F.col("t"))), F.size(T._spans(T.token_texts(F.col("t"))))).collect()
+            best = min(best, time.perf_counter() - t)
+        return best
+
+    took(10)
+    small, large = took(3000), took(12000)  # 100 and 400 KB
+    assert large < 8 * small + 1
+    starts = spark.createDataFrame([([1, 2, 3] * 100,)], "a array<int>").select(T._starts(F.col("a")).alias("x")).first()["x"]
+    assert starts == [sum(([1, 2, 3] * 100)[:i]) for i in range(300)]
+
+
+def test_taggers(spark):
+    import pytest
+
+    from termloom.operators import tagging
+
+    t = tagging.LexiconTagger({"rose": {"VBD": 0.9, "NN": 0.1}, "fell": {"VBD": 0.99, "NN": 0.01}}, default="NN")
+    assert t([["It", "rose", "to", "fell"]]) == [["NN", "NN", "TO", "VBD"]]
+    s = match.sentence_rows(passages(spark, "Pneumonia fell rose"))
+    got = {r["term"] for r in match.candidates(s, tagger=t).collect()}
+    assert got == {"Pneumonia", "Pneumonia fell", "Pneumonia fell rose", "rose"}
+    with pytest.raises(ValueError, match="one tag per token"):
+        tagging.tags_of([["a", " ", "b"]], lambda b: [["NN"]], lambda w: w == " ")
+
+
+def test_segmenter_of_ones_own(spark):
+    T.register_segmenter("halves", lambda t: [(0, len(t) // 2), (len(t) // 2, len(t))])
+    got = spark.createDataFrame([("abcd",), (None,)], "t string").select(T.segment(F.col("t"), "halves").alias("x")).collect()
+    assert [(r["start"], r["text"]) for r in got[0]["x"]] == [(0, "ab"), (2, "cd")] and got[1]["x"] is None
+
+
+def test_lookup_of_bare_terms(spark):
+    terms = spark.createDataFrame([("Type 2 Diabetes Mellitus",), ("none",), (None,)], "q string")
+    got = match.looked_up(terms, "q", match.dictionary(names(spark)))
+    assert [(r["start"], r["text"], r["cui"]) for r in got.collect()] == [(0, "Type 2 Diabetes Mellitus", "C2"), (7, "Diabetes Mellitus", "C1"), (7, "Diabetes", "C1")]
+    types = spark.createDataFrame([("C1", "T047", "dsyn")], "cui string, tui string, abbrev string")
+    concepts = spark.createDataFrame([("C1", "Diabetes")], "cui string, preferred_name string")
+    r = analytics.resolved_terms(terms, "q", match.dictionary(names(spark)), concepts, types)
+    assert sorted((x["cui"], x["preferred_name"], x["semantic_types"]) for x in r.collect()) == [("C1", "Diabetes", ["dsyn"]), ("C2", "C2", [])]
 
 
 def test_dictionary_build(spark, tmp_path):
