@@ -20,12 +20,13 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators.match import key_filter
 from termloom.session import kept, spread
 
 # --- encodings -------------------------------------------------------------------------------------
@@ -186,8 +187,8 @@ def units(text: Column) -> Column:
     """array<string>: the units of a text, each with and without ASCII marks around it."""
     edges = F.regexp_replace(text, f"(?<=[{_CJK}])(?=[^{_CJK}])|(?<=[^{_CJK}])(?=[{_CJK}])", " ")
     apart = F.regexp_replace(F.when(text.rlike(f"[{_CJK}]"), edges).otherwise(text), _cut(), "$1 ")
-    raw = F.regexp_extract_all(apart, F.lit(r"([^\x00-\x20\x7f0-9]*[^\x00-\x7f][^\x00-\x20\x7f0-9]*)"), F.lit(1))
-    core = F.transform(raw, lambda u: F.regexp_replace(u, r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$", ""))
+    raw = F.filter(F.split(apart, r"[\x00-\x20\x7f0-9]+"), lambda w: w.rlike(r"[^\x00-\x7f]"))
+    core = F.transform(raw, lambda u: F.regexp_replace(u, r"^[!-/:-@\[-`{-~]++|(?<![!-/:-@\[-`{-~])[!-/:-@\[-`{-~]++$", ""))
     return F.array_distinct(F.concat(raw, core))
 
 
@@ -221,14 +222,60 @@ def _undone(g: str, chain: tuple[str, ...]) -> str | None:
     return g
 
 
-def _word_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Unheld(Exception):
+    """No lookup error, which ``str.translate`` would take for a letter that stays."""
+
+
+class _Letters(dict):
+    """What a chain that works letter by letter makes of each letter, found out once; a letter the chain
+    cannot hold is an ``Unheld``."""
+
+    def __init__(self, chain: tuple[str, ...]) -> None:
+        super().__init__()
+        self.chain, self.unheld = chain, set()
+
+    def __missing__(self, o: int) -> str:
+        if o in self.unheld:
+            raise Unheld
+        g = garbled(chr(o), self.chain)
+        if g is None:
+            self.unheld.add(o)
+            raise Unheld
+        self[o] = g
+        return g
+
+
+@lru_cache(maxsize=1)
+def _letterwise() -> tuple[list[_Letters], list[_Letters], list[_Letters]]:
+    """All chains but those that read as UTF-8 or ASCII keep letters apart: what they make of a word is what
+    they make of its letters."""
+    return tuple([_Letters(c) for c in chains] for chains in (UTF8_AS + TWICE, EASTERN, CROSSED))
+
+
+def _through(word: str, tables: list[_Letters]) -> Iterator[str]:
+    for t in tables:
+        try:
+            g = word.translate(t)
+        except Unheld:
+            continue
+        if g != word:
+            yield g
+
+
+def _word_forms(batches: Iterator[pd.DataFrame], known: object = None) -> Iterator[pd.DataFrame]:
+    """(unit, word, word_n): the forms of clean words; of those no unit can have (``known``: a filter of the
+    units) none is sent on."""
+    wide, eastern, crossed = _letterwise()
+    held = known.value if known is not None else None
     for b in batches:
         out = []
         for w, n in zip(b["unit"], b["n"], strict=True):
-            out += [(g, w, n) for g in forms(w, UTF8_AS + TWICE + EASTERN * any(c >= "\u1100" for c in w))]
+            found = {(g, w) for g in _through(w, wide + eastern if any(c >= "\u1100" for c in w) else wide)}
             for v in {w, w.lower(), w.capitalize(), w.upper()}:
-                out += [(g, v, n) for g in forms(v, CROSSED + LOST) if g.strip("\ufffd")]
-        yield pd.DataFrame(sorted(set(out)), columns=["unit", "word", "word_n"])
+                found |= {(g, v) for g in _through(v, crossed) if g.strip("\ufffd")}
+                found |= {(g, v) for g in forms(v, LOST) if g.strip("\ufffd")}
+            out += [(g, v, n) for g, v in found if held is None or g in held]
+        yield pd.DataFrame(out, columns=["unit", "word", "word_n"])
 
 
 def _char_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -266,16 +313,23 @@ def _restore(u: pd.Series, chain: pd.Series, pieces: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def vocabulary(texts: list[DataFrame]) -> DataFrame:
-    """(unit, n, bad): distinct units of the text columns with their rows, and how bad they look.
+def unit_rows(df: DataFrame, table: str, text: str, key: str | None = None) -> DataFrame:
+    """(table_name, row_id, unit): the units of every row; without ``key`` they only count."""
+    rows = spread(df.select(F.lit(table).alias("table_name"), (F.col(key) if key else F.lit(None)).cast("bigint").alias("row_id"), F.col(text).alias("text")).where(F.col("text").rlike(r"[^\x00-\x7f]")))
+    return rows.select("table_name", "row_id", F.explode(units(F.col("text"))).alias("unit")).where("unit rlike '[^\\\\x00-\\\\x7f]'")
+
 
-    Each frame has one column, ``text``."""
-    parts = [spread(t.where(F.col("text").rlike(r"[^\x00-\x7f]"))).select(F.explode(units(F.col("text"))).alias("unit")) for t in texts]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    counted = every.where("unit rlike '[^\\\\x00-\\\\x7f]'").groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    return counted.withColumn("bad", F.pandas_udf(_scored, "int")("unit"))
+def counted(rows: DataFrame) -> DataFrame:
+    """(unit, n, bad): distinct units with the rows they stand in, and how bad they look."""
+    return rows.groupBy("unit").agg(F.count(F.lit(1)).alias("n")).withColumn("bad", F.pandas_udf(_scored, "int")("unit"))
+
+
+def vocabulary(texts: list[DataFrame]) -> DataFrame:
+    """``counted`` units of text columns. Each frame has one column, ``text``."""
+    every = unit_rows(texts[0], "", "text")
+    for t in texts[1:]:
+        every = every.unionByName(unit_rows(t, "", "text"))
+    return counted(every)
 
 
 #: A unit and its word both of Cyrillic letters alone: one read as the other in two 8-bit Cyrillic sets.
@@ -289,7 +343,8 @@ def repairs(vocab: DataFrame) -> DataFrame:
     folds = clean.groupBy("fold").agg(F.sum("n").alias("n"), F.min("unit").alias("unit"))
     cores = v.sparkSession.sparkContext.defaultParallelism
     # few bytes, much work: by size alone these rows would be one task
-    table = folds.select("unit", "n").repartition(cores * 2).mapInPandas(_word_forms, "unit string, word string, word_n bigint")
+    known = v.sparkSession.sparkContext.broadcast(key_filter(v.select("unit"), "unit"))  # bounded, see there
+    table = folds.select("unit", "n").repartition(cores * 2).mapInPandas(partial(_word_forms, known=known), "unit string, word string, word_n bigint")
     met = v.join(table, "unit").where(f"bad > 0 or word_n >= 2 * n and word_n >= 3 and length(unit) > 3 and (unit rlike '[A-Za-z]' or {CYRILLIC})")
     met = met.where("word <> unit")
     by_word = met.groupBy("unit").agg(F.max_by("word", F.struct("word_n", "word")).alias("original"))
@@ -312,6 +367,11 @@ def affected(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFrame:
     return u.join(fixes.select("unit"), "unit", "left_semi").select(key).distinct()
 
 
+def affected_rows(rows: DataFrame, table: str, fixes: DataFrame) -> DataFrame:
+    """(row_id): as ``affected``, from ``unit_rows`` made before."""
+    return rows.where((F.col("table_name") == table) & F.col("row_id").isNotNull()).join(fixes.select("unit"), "unit", "left_semi").select("row_id").distinct()
+
+
 def _replaced(text: pd.Series, fixes: pd.Series) -> pd.Series:
     out = []
     for s, fs in zip(text, fixes, strict=True):

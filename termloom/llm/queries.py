@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termloom.llm import cooccur, encoding, frequency, lookalike, mixing, pii, sentences, subjects, tokens
-from termloom.session import read, spread
+from termloom.session import kept, read, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,11 +31,14 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_store(spark: SparkSession, d: str) -> tuple[cooccur.PairStore, int, int]:
+    """The store after two changes: what was loaded in time, and the baskets that late rows changed."""
     entities = read(spark, d, "entities")
     total = entities.agg(F.count_distinct("docid")).first()[0]
     least = max(5, -(-3 * total // 1000))
-    baskets = cooccur.concept_baskets(entities, read(spark, d, "evidence"), read(spark, d, "concepts"))
-    return cooccur.PairStore(spark).apply(baskets), total, least
+    members = kept(cooccur.concept_baskets(entities, read(spark, d, "evidence"), read(spark, d, "concepts")), "members")
+    store = cooccur.PairStore(spark).apply(members.where("not late").select("basket", "item"))
+    changed = members.where("late").select("basket").distinct()
+    return store.apply(members.join(changed, "basket", "left_semi").select("basket", "item")), total, least
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,8 +57,7 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
 def p4_normal(spark: SparkSession, d: str) -> DataFrame:
     """Values not in their consistent form, with it; rows decoded wrongly are left out."""
     c, e = read(spark, d, "cuisourceinfo"), read(spark, d, "entities")
-    fixes = _repairs(spark, d)
-    wrong = encoding.affected(c, "ord", "str", fixes)
+    wrong = _wrong(spark, d, "cuisourceinfo").withColumnRenamed("row_id", "ord")
     row = lambda df, table, field: df.select(F.lit(table).alias("table_name"), F.lit(field).alias("field"), F.col(df.columns[0]).alias("row_id"), "text", "normal")
     of = lambda field: row(lookalike.changed(c, "ord", field).join(wrong, "ord", "left_anti"), "cuisourceinfo", field)
     return of("str").unionByName(of("norm")).unionByName(row(lookalike.changed(e, "entity_id", "matched_text"), "entities", "matched_text"))
@@ -68,7 +70,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_units(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence unit with its position; passages decoded wrongly are left out."""
     p, s = read(spark, d, "passages"), read(spark, d, "sentences")
-    wrong = encoding.affected(p, "passage_id", "text", _repairs(spark, d))
+    wrong = _wrong(spark, d, "passages").withColumnRenamed("row_id", "passage_id")
     row = lambda df, table: df.select(F.lit(table).alias("table_name"), F.col(df.columns[0]).alias("row_id"), "start_pos", "unit")
     of_p = sentences.sentences(p, "passage_id", "text").join(wrong, "passage_id", "left_anti")
     return row(of_p, "passages").unionByName(row(sentences.sentences(s, "sent_id", "text"), "sentences"))
@@ -78,23 +80,33 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_units(spark, d).select("table_name", "row_id", "start_pos")
 
 
-def _repairs(spark: SparkSession, d: str) -> DataFrame:
+def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The units of the corpus by row, and the repairs made from them; each written once. Names and
+    preferred names that no row is asked of only add to the vocabulary."""
     c, p = read(spark, d, "cuisourceinfo"), read(spark, d, "passages")
-    texts = [c.select(F.col("str").alias("text")), c.select(F.col("norm").alias("text")), p.select("text"), read(spark, d, "concepts").select(F.col("preferred_name").alias("text"))]
-    return encoding.corpus_repairs(texts)
+    parts = [encoding.unit_rows(c, "cuisourceinfo", "str", "ord"), encoding.unit_rows(p, "passages", "text", "passage_id"), encoding.unit_rows(c, "", "norm"), encoding.unit_rows(read(spark, d, "concepts"), "", "preferred_name")]
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    rows = kept(every, "unit-rows")
+    return rows, kept(encoding.repairs(kept(encoding.counted(rows), "units")), "repairs")
+
+
+def _wrong(spark: SparkSession, d: str, table: str) -> DataFrame:
+    rows, fixes = _corpus(spark, d)
+    return encoding.affected_rows(rows, table, fixes)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Rows whose text was decoded wrongly, wholly or in part."""
-    fixes = _repairs(spark, d)
-    c = encoding.affected(read(spark, d, "cuisourceinfo"), "ord", "str", fixes)
-    p = encoding.affected(read(spark, d, "passages"), "passage_id", "text", fixes)
-    return c.select(F.lit("cuisourceinfo").alias("table_name"), F.col("ord").alias("row_id")).unionByName(p.select(F.lit("passages").alias("table_name"), F.col("passage_id").alias("row_id")))
+    rows, fixes = _corpus(spark, d)
+    of = lambda t: encoding.affected_rows(rows, t, fixes).select(F.lit(t).alias("table_name"), "row_id")
+    return of("cuisourceinfo").unionByName(of("passages"))
 
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     """The affected rows with their text as it was and as restored."""
-    fixes = _repairs(spark, d)
+    fixes = _corpus(spark, d)[1]
     c = encoding.repaired(read(spark, d, "cuisourceinfo"), "ord", "str", fixes).select(F.lit("cuisourceinfo").alias("table_name"), F.col("ord").alias("row_id"), "text", "repaired")
     p = encoding.repaired(read(spark, d, "passages"), "passage_id", "text", fixes).select(F.lit("passages").alias("table_name"), F.col("passage_id").alias("row_id"), "text", "repaired")
     return c.unionByName(p)
@@ -105,8 +117,8 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     held = frequency.latest_counts(read(spark, d, "termfrequency"))
     cui = held.select(F.lit("cui").alias("field"), F.col("cui").alias("term"), F.col("frequency").alias("occurrences"), F.col("docid").isNotNull().cast("int").alias("records"))
     names = read(spark, d, "cuisourceinfo").where("norm is not null").select("ord", "norm", "cui").distinct()
-    norm = names.groupBy("norm", "cui").agg(F.count(F.lit(1)).alias("occurrences"))
-    norm = norm.select(F.lit("norm").alias("field"), F.col("norm").alias("term"), "occurrences", F.col("cui").isNotNull().cast("int").alias("records"))
+    first = F.row_number().over(Window.partitionBy("norm", "cui").orderBy("ord")) == 1  # a concept is a record once
+    norm = names.select(F.lit("norm").alias("field"), F.col("norm").alias("term"), F.lit(1).cast("bigint").alias("occurrences"), (first & F.col("cui").isNotNull()).cast("int").alias("records"))
     return frequency.term_counts(cui.unionByName(norm))
 
 
@@ -130,6 +142,15 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", tokens.ids(F.col("text"), tokens.tokenizer_path()).alias("ids"))
 
 
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's ids decoded again, and whether the spans of its tokens cover it."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    path = tokens.tokenizer_path()
+    got = docs.select("doc_id", "text", tokens.ids(F.col("text"), path).alias("ids"), tokens.spans(F.col("text"), path).alias("spans"))
+    end = F.coalesce(F.array_max(F.transform("spans", lambda x: x["end"])), F.lit(0))
+    return got.select("doc_id", (tokens.decode(F.col("ids"), path) == F.coalesce("text", F.lit(""))).alias("same"), (end == F.length(F.coalesce("text", F.lit("")))).alias("covered"))
+
+
 def _mix(spark: SparkSession, d: str):  # noqa: ANN202
     return mixing.mix(read(spark, d, "documents"), read(spark, d, "mix_targets"), tokens.tokenizer_path())
 
