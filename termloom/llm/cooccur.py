@@ -1,14 +1,19 @@
 """Items that appear together: an incremental table of pair counts.
 
-A store keeps, as Parquet below one folder, the current baskets, hash-bucketed pair counts, item
-counts and the members of hot baskets. A change (new contents of some baskets) emits signed deltas:
--1 for every pair and item of the old contents, +1 for the new ones; deltas are summed before and
-while they are merged into the buckets, and scores are computed from the merged counts.
+A store keeps, as Parquet below one folder, the current baskets, pair counts, item counts and the
+members of hot baskets, each in hash buckets. A change (new contents of some baskets) emits signed
+deltas, -1 for every pair and item of the old contents and +1 for the new ones. Deltas are summed, and
+only the buckets they fall into are read, merged and written again; a table of paths says where each
+bucket stands, so all others stay as they are. ``scores`` computes association from the counts,
+``affected`` only that of pairs whose counts or items the last change moved.
+
+The number of buckets follows the pairs of the first contents (``PER_BUCKET`` a bucket) and then stays.
 
 A basket of more than ``hot`` items never emits its pairs: it is kept as membership rows, and a pair
-that is asked for gets from them one more count for each hot basket holding both. That is exact as
-long as the wanted count exceeds the number of hot baskets, since a pair must then also stand in
-some other basket; ``scores`` checks it and raises the limit of the store where it does not hold.
+that is asked for gets from them one more count for each hot basket holding both, found block by block
+of ``BLOCK`` hot baskets. That is exact as long as the wanted count exceeds the number of hot baskets,
+since a pair must then also stand in some other basket; ``counts`` checks it and, where it does not
+hold, builds the store again with a higher limit, once.
 
 Defined cases: null baskets and null items are no members; an item counts once in a basket; a basket
 of one item has no pairs; a basket whose new contents are empty (item null) is removed.
@@ -16,18 +21,19 @@ of one item has no pairs; a basket whose new contents are empty (item null) is r
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.session import kept, scratch_path
 
-BUCKETS = 16
-
-
-def _bucket() -> Column:
-    return F.pmod(F.hash("item_a", "item_b"), F.lit(BUCKETS))
+PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2_000_000, 8, 16_384
+#: Hot baskets that are intersected at a time.
+BLOCK = 4096
+TABLES = {"baskets": ("basket",), "pairs": ("item_a", "item_b"), "items": ("item",), "hot": ("basket",)}
+SCHEMAS = {"baskets": "basket string, item string", "pairs": "item_a string, item_b string, n bigint", "items": "item string, n bigint", "hot": "basket string, item string"}
 
 
 def pairs(baskets: DataFrame, sign: int = 1) -> DataFrame:
@@ -41,13 +47,11 @@ def pairs(baskets: DataFrame, sign: int = 1) -> DataFrame:
 
 @dataclass
 class State:
-    """Paths of one version of the store and the limit it was made with."""
+    """Where each bucket of each table stands, and what the store was made with."""
 
-    baskets: str
-    pairs: str
-    items: str
-    hot_members: str
+    buckets: int
     hot: int
+    paths: dict[str, dict[int, str]] = field(default_factory=lambda: {t: {} for t in TABLES})
 
 
 class PairStore:
@@ -57,85 +61,127 @@ class PairStore:
         self.spark, self.path, self.version = spark, path or scratch_path(spark, "pairs"), 0
         self.state: State | None = None
         self.hot = hot
+        self.delta: tuple[DataFrame, DataFrame] | None = None  # of pairs and of items, by the last change
+
+    def _bucket(self, *by: str) -> Column:
+        return F.pmod(F.hash(*by), F.lit(self.state.buckets)).alias("bucket")
+
+    def _write(self, df: DataFrame, table: str, touched: set[int] | None) -> None:
+        """The rows of the touched buckets (all, if None) written; the others keep their place."""
+        at = f"{self.path}/v{self.version}/{table}"
+        tasks = min(self.state.buckets, max(self.spark.sparkContext.defaultParallelism, len(touched or ()) or self.state.buckets))
+        df.withColumn("bucket", self._bucket(*TABLES[table])).repartition(tasks, "bucket").write.partitionBy("bucket").parquet(at)
+        files = self.spark.read.schema(f"{SCHEMAS[table]}, bucket int").parquet(at).inputFiles()
+        new = {int(m.group(1)): f"{at}/bucket={m.group(1)}" for f in files if (m := re.search(r"/bucket=(\d+)/", f))}
+        held = self.state.paths[table]
+        for b in list(held) if touched is None else touched:
+            held.pop(b, None)
+        held.update(new)
+
+    def _read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
+        at = [p for b, p in sorted(self.state.paths[table].items()) if buckets is None or b in buckets]
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*at) if at else self.spark.createDataFrame([], SCHEMAS[table])
+
+    def _touched(self, df: DataFrame, table: str) -> set[int]:
+        """The buckets rows fall into: as many values as there are buckets at most."""
+        return {r["bucket"] for r in df.select(self._bucket(*TABLES[table])).distinct().collect()}
+
+    def _merge(self, table: str, delta: DataFrame) -> None:
+        by = TABLES[table]
+        if not self.state.paths[table]:
+            self._write(_summed([delta], *by), table, None)
+            return
+        touched = self._touched(delta, table)
+        self._write(_summed([delta, self._read(table, touched)], *by), table, touched)
+
+    def _replace(self, table: str, keys: DataFrame, rows: DataFrame, touched: set[int]) -> None:
+        if not self.state.paths[table]:
+            self._write(rows, table, None)
+        else:
+            self._write(self._read(table, touched).join(keys, "basket", "left_anti").unionByName(rows), table, touched)
 
-    def _write(self, df: DataFrame, name: str, by: str | None = None) -> str:
-        at = f"{self.path}/v{self.version}/{name}"
-        w = df.write
-        (w.partitionBy(by) if by else w).parquet(at)
-        return at
-
-    def _read(self, at: str) -> DataFrame:
-        return self.spark.read.parquet(at)
-
-    def _read_pairs(self) -> DataFrame:
-        # an empty table has no buckets to read a schema from
-        return self.spark.read.schema("item_a string, item_b string, n bigint, bucket int").parquet(self.state.pairs).select("item_a", "item_b", "n")
-
-    @staticmethod
-    def _split(baskets: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
+    def _split(self, baskets: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Small baskets, and hot ones. The list of hot baskets is at most items / hot long."""
-        large = baskets.groupBy("basket").count().where(F.col("count") > hot).select("basket")
+        large = baskets.groupBy("basket").count().where(F.col("count") > self.hot).select("basket")
         return baskets.join(large, "basket", "left_anti"), baskets.join(large, "basket", "left_semi")
 
     def apply(self, changed: DataFrame) -> "PairStore":
         """Merge baskets (basket, item) that replace those of the same name."""
-        given = changed.where("basket is not null").select("basket", "item").distinct()
-        new = kept(given, "changed")
+        new = kept(changed.where("basket is not null").select("basket", "item").distinct(), "changed")
         full = new.where("item is not null")
-        small, large = self._split(full, self.hot)
-        deltas, marks = [pairs(small)], [full.groupBy("item").agg(F.count(F.lit(1)).alias("n"))]
+        small, large = self._split(full)
+        marks = full.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
         self.version += 1
+        keys = new.select("basket").distinct()
         if self.state is None:
-            baskets, members = full, large
-        else:
-            keys = new.select("basket").distinct()
-            old_all = self._read(self.state.baskets)
-            old = old_all.join(keys, "basket", "left_semi")
-            old_small, _ = self._split(old, self.hot)
-            deltas.append(pairs(old_small, -1))
-            marks.append(old.groupBy("item").agg((-F.count(F.lit(1))).alias("n")))
-            deltas.append(self._read_pairs())
-            marks.append(self._read(self.state.items))
-            baskets = old_all.join(keys, "basket", "left_anti").unionByName(full)
-            members = self._read(self.state.hot_members).join(keys, "basket", "left_anti").unionByName(large)
-        merged = _summed(deltas, "item_a", "item_b").withColumn("bucket", _bucket())
-        self.state = State(
-            self._write(baskets, "baskets"),
-            self._write(merged.repartition("bucket"), "pairs", "bucket"),
-            self._write(_summed(marks, "item"), "items"),
-            self._write(members, "hot"),
-            self.hot,
-        )
+            n = full.groupBy("basket").count().where(F.col("count") <= self.hot).agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0] or 0
+            size = LEAST_BUCKETS
+            while size < min(n // PER_BUCKET, MOST_BUCKETS):
+                size *= 2
+            self.state = State(size, self.hot)
+            self._merge("pairs", pairs(small))
+            self._merge("items", marks)
+            self._replace("baskets", keys, full, set())
+            self._replace("hot", keys, large, set())
+            return self
+        touched = self._touched(keys, "baskets")
+        old = self._read("baskets", touched).join(keys, "basket", "left_semi")
+        old_small, _ = self._split(old)
+        gone = old.groupBy("item").agg((-F.count(F.lit(1))).alias("n"))
+        delta = kept(_summed([pairs(small), pairs(old_small, -1)], *TABLES["pairs"]), "pair-delta")
+        moved = kept(_summed([marks, gone], "item"), "item-delta")
+        self._merge("pairs", delta)
+        self._merge("items", moved)
+        self._replace("hot", keys, large, touched)
+        self._replace("baskets", keys, full, touched)
+        self.delta = (delta, moved)
         return self
 
-    def counts(self, least: int) -> DataFrame:
-        """(item_a, item_b, n): exact counts of all pairs in at least ``least`` baskets."""
-        members = self._read(self.state.hot_members)
+    def counts(self, least: int, of: DataFrame | None = None) -> DataFrame:
+        """(item_a, item_b, n): exact counts of all pairs (or of the pairs ``of``) in at least ``least`` baskets."""
+        members = self._read("hot")
         many = members.select("basket").distinct().count()
         if many >= least:
-            # the hot baskets alone could reach the count: split again with a higher limit, until only
-            # fewer than ``least`` baskets are hot
-            store = PairStore(self.spark, hot=self.hot * 4)
-            return store.apply(self._read(self.state.baskets)).counts(least)
-        p = self._read_pairs()
-        frequent = self._read(self.state.items).where(F.col("n") >= least).select("item")
-        held = p.where(F.col("n") >= least - many)
+            # the hot baskets alone could reach the count: built again with a higher limit, which stays, until
+            # only fewer than ``least`` baskets are hot
+            higher = PairStore(self.spark, f"{self.path}/hot{self.hot * 4}", self.hot * 4).apply(self._read("baskets"))
+            self.hot, self.state, self.path, self.version = higher.hot, higher.state, higher.path, higher.version
+            return self.counts(least, of)
+        held = self._read("pairs").where(F.col("n") >= least - many)
+        if of is not None:
+            held = held.join(of.select("item_a", "item_b").distinct(), ["item_a", "item_b"], "left_semi")
+        frequent = self._read("items").where(F.col("n") >= least).select("item")
         held = held.join(frequent.withColumnRenamed("item", "item_a"), "item_a", "left_semi").join(frequent.withColumnRenamed("item", "item_b"), "item_b", "left_semi")
         if not many:
             return held
-        sets = members.groupBy("item").agg(F.collect_set("basket").alias("in"))  # fewer than ``least`` baskets each
+        blocked = members.withColumn("block", F.pmod(F.xxhash64("basket"), F.lit(-(-many // BLOCK))))
+        sets = kept(blocked.groupBy("item", "block").agg(F.collect_set(F.xxhash64("basket")).alias("in")), "hot-sets")  # about BLOCK each
         a, b = sets.withColumnsRenamed({"item": "item_a", "in": "in_a"}), sets.withColumnsRenamed({"item": "item_b", "in": "in_b"})
-        more = F.coalesce(F.size(F.array_intersect("in_a", "in_b")), F.lit(0))
-        got = held.join(a, "item_a", "left").join(b, "item_b", "left")
-        return got.select("item_a", "item_b", (F.col("n") + F.when(F.col("in_a").isNotNull() & F.col("in_b").isNotNull(), more).otherwise(0)).alias("n")).where(F.col("n") >= least)
+        more = held.select("item_a", "item_b").join(a, "item_a").join(b, ["item_b", "block"]).groupBy("item_a", "item_b").agg(F.sum(F.size(F.array_intersect("in_a", "in_b"))).alias("h"))
+        got = held.join(more, ["item_a", "item_b"], "left")
+        return got.select("item_a", "item_b", (F.col("n") + F.coalesce("h", F.lit(0))).alias("n")).where(F.col("n") >= least)
 
-    def scores(self, total: int, least: int) -> DataFrame:
-        """(item_a, item_b, n_ab, n_a, n_b, lift): lift is n_ab * total / (n_a * n_b)."""
-        items = self._read(self.state.items)
+    def _scored(self, counts: DataFrame, total: int) -> DataFrame:
+        items = self._read("items")
         a, b = items.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), items.select(F.col("item").alias("item_b"), F.col("n").alias("n_b"))
-        s = self.counts(least).withColumnRenamed("n", "n_ab").join(a, "item_a").join(b, "item_b")
+        s = counts.withColumnRenamed("n", "n_ab").join(a, "item_a").join(b, "item_b")
         return s.withColumn("lift", F.col("n_ab") * F.lit(float(total)) / (F.col("n_a") * F.col("n_b")))
 
+    def scores(self, total: int, least: int) -> DataFrame:
+        """(item_a, item_b, n_ab, n_a, n_b, lift): lift is n_ab * total / (n_a * n_b)."""
+        return self._scored(self.counts(least), total)
+
+    def affected(self, total: int, least: int) -> DataFrame:
+        """``scores`` of the pairs the last change moved: those whose count it changed and those with an item
+        whose count it changed. With the same ``total`` all other scores are as they were."""
+        if self.delta is None:
+            return self.scores(total, least)
+        pairs_, items = self.delta
+        moved = items.select("item")
+        p = self._read("pairs").select("item_a", "item_b")
+        by_item = p.join(moved.withColumnRenamed("item", "item_a"), "item_a", "left_semi").unionByName(p.join(moved.withColumnRenamed("item", "item_b"), "item_b", "left_semi").select("item_a", "item_b"))
+        return self._scored(self.counts(least, pairs_.select("item_a", "item_b").unionByName(by_item)), total)
+
 
 def _summed(parts: list[DataFrame], *by: str) -> DataFrame:
     out = parts[0]
@@ -147,7 +193,9 @@ def _summed(parts: list[DataFrame], *by: str) -> DataFrame:
 
 
 def concept_baskets(entities: DataFrame, evidence: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(basket, item): the known concepts found under each docid, each once."""
-    e = entities.where("docid is not null").select("entity_id", "docid")
+    """(basket, item, late): the known concepts found under each docid, each once; ``late`` if all its spans
+    were loaded more than a day after they were found."""
+    late = F.coalesce(F.col("loaded_at") > F.col("found_at") + F.expr("interval 1 day"), F.lit(False))
+    e = entities.where("docid is not null").select("entity_id", "docid", late.alias("late"))
     v = evidence.where("cui is not null").select("entity_id", "cui").join(concepts.select("cui").distinct(), "cui", "left_semi")
-    return e.join(v, "entity_id").select(F.col("docid").alias("basket"), F.col("cui").alias("item")).distinct()
+    return e.join(v, "entity_id").groupBy(F.col("docid").alias("basket"), F.col("cui").alias("item")).agg(F.min("late").alias("late"))

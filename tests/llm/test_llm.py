@@ -80,7 +80,23 @@ def test_pairs_incremental(spark, tmp_path):
     assert got(store) == brute(first, 3)
     change = {"b1": set(all_items[:12]), "b2": set(), "hot": set(all_items[:5]), "new": {"i01", "i02"}}
     store.apply(frame(spark, change))
-    assert got(store) == brute({k: v for k, v in (first | change).items() if v}, 3)
+    now = brute({k: v for k, v in (first | change).items() if v}, 3)
+    assert got(store) == now
+    moved = {(r["item_a"], r["item_b"], r["n_ab"], r["n_a"], r["n_b"]) for r in store.affected(61, 3).collect()}
+    assert now - brute(first, 3) <= moved <= now
+
+
+def test_pairs_change_touches_its_buckets_only(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(cooccur, "LEAST_BUCKETS", 32)
+    b = {f"b{k}": {f"i{k}", f"i{k + 1}"} for k in range(100)}
+    store = cooccur.PairStore(spark, f"{tmp_path}/s").apply(frame(spark, b))
+    before = {t: dict(p) for t, p in store.state.paths.items()}
+    store.apply(spark.createDataFrame([("b7", "i1"), ("b7", "i2")], "basket string, item string"))
+    for t, most in (("baskets", 1), ("pairs", 2), ("items", 4)):
+        moved = {k for k in before[t] | store.state.paths[t] if before[t].get(k) != store.state.paths[t].get(k)}
+        assert 1 <= len(moved) <= most
+    b["b7"] = {"i1", "i2"}
+    assert {(r["item_a"], r["item_b"], r["n"]) for r in store.counts(1).collect()} == {(x, y, n) for x, y, n, _, _ in brute(b, 1)}
 
 
 def test_pairs_many_hot_baskets(spark):
