@@ -40,6 +40,8 @@ GREEK = {
 SYMBOLS = set("αβγδεκλμπστωΔΩηχ")
 #: Characters that show nothing.
 INVISIBLE = {0xAD, 0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), 0x3164, 0xFFA0}
+INVISIBLE_CHARS = frozenset(map(chr, INVISIBLE))
+_CLUSTER = regex.compile(r"\X")
 JOINERS = {"‌", "‍"}
 MARKS = {"‎", "‏", "؜"}
 
@@ -148,8 +150,9 @@ def _rtl(c: str) -> bool:
 _RIGHT_JOINING = set("اأإآٱدذرزژوؤڈڑےۀةى")
 
 
-def _needed(s: str, i: int) -> bool:
-    """Whether the invisible character at ``i`` does something there."""
+def _needed(s: str, i: int, mixed: bool) -> bool:
+    """Whether the invisible character at ``i`` does something there. ``mixed``: the text has letters that
+    run from right to left."""
     c, p, n = s[i], s[i - 1] if i else "", s[i + 1] if i + 1 < len(s) else ""
     if c == "‌" and p and n:
         arabic = 0x600 <= ord(p) < 0x780 and 0x600 <= ord(n) < 0x780
@@ -162,7 +165,7 @@ def _needed(s: str, i: int) -> bool:
     if 0xFE00 <= ord(c) <= 0xFE0F:
         return bool(p) and (unicodedata.category(p) in ("So", "Sm", "Po", "Nd") or 0x3400 <= ord(p))
     if 0x202A <= ord(c) <= 0x202E or 0x2066 <= ord(c) <= 0x2069:
-        return any(map(_rtl, s))
+        return mixed
     return False
 
 
@@ -194,46 +197,99 @@ def _word(word: str, text_scripts: set[str]) -> str:
     return "".join(out)
 
 
-def normalize(s: str | None) -> str | None:
-    """The text in its one consistent form."""
-    if s is None or s.isascii():
-        return s
-    tab, scripts_in = table(), set()
-    for c in s:
-        f = script(c)
-        if f and not (f == "C" and (c, "L") in foreign()):
-            scripts_in.add(f)
-    out: list[str] = []
-    word: list[str] = []
-
-    def end() -> None:
-        if word:
+class Transducer:
+    """The table compiled to a trie over grapheme clusters. A text is read once, from cluster to cluster:
+    the longest sequence of clusters that is a key gives its output; a cluster that is none is put
+    together from its characters, once for all texts (``closed``). Letters go on to the open word,
+    which is given out when it ends."""
+
+    def __init__(self, mapping: dict[str, str]) -> None:
+        self.mapping = mapping
+        self.root: dict = {}
+        for key, to in mapping.items():
+            node = self.root
+            for g in _CLUSTER.findall(key):
+                node = node.setdefault(g, {})
+            node[None] = to
+        self.closed: dict[str, str] = {}
+
+    def longest(self, clusters: list[str], i: int) -> tuple[int, str] | None:
+        """(clusters read, output) of the longest key that begins at ``i``."""
+        node, best, k = self.root, None, i
+        while k < len(clusters) and (node := node.get(clusters[k])) is not None:
+            k += 1
+            if None in node:
+                best = k - i, node[None]
+        return best
+
+    def close(self, g: str) -> str:
+        """A cluster that is no key: its characters mapped one by one and composed again."""
+        r = self.closed.get(g)
+        if r is None:
+            r = "".join([self.mapping.get(c, c) for c in g])
+            r = self.mapping.get(r) or (unicodedata.normalize("NFC", r) if len(r) > 1 else r)
+            if len(self.closed) < 100_000:
+                self.closed[g] = r
+        return r
+
+    def run(self, s: str) -> str:
+        clusters = _CLUSTER.findall(s)
+        scripts_in: set[str] = set()
+        mixed = False
+        latin = foreign()
+        for c in set(s):
+            f = script(c)
+            if f and not (f == "C" and (c, "L") in latin):
+                scripts_in.add(f)
+            mixed = mixed or _rtl(c)
+        if not INVISIBLE_CHARS.isdisjoint(s):
+            at, kept = 0, []
+            for g in clusters:
+                if len(g) == 1 and g < "\x80" or INVISIBLE_CHARS.isdisjoint(g):
+                    kept.append(g)
+                else:
+                    kept.append("".join(c for k, c in enumerate(g) if c not in INVISIBLE_CHARS or _needed(s, at + k, mixed)))
+                at += len(g)
+            clusters = kept
+        out: list[str] = []
+        word: list[str] = []
+
+        def end() -> None:
             w = "".join(word)
             word.clear()
             out.append(w if w.isascii() else _word(w, scripts_in))
 
-    at = 0
-    for g in regex.findall(r"\X", s):
-        if len(g) == 1 and g < "\x80":
-            r = g
-        else:
-            if any(ord(c) in INVISIBLE for c in g):
-                g2 = "".join(c for k, c in enumerate(g) if ord(c) not in INVISIBLE or _needed(s, at + k))
-            else:
-                g2 = g
-            r = tab.get(g2)
-            if r is None:
-                r = "".join([tab.get(c, c) for c in g2])
-                r = tab.get(r) or (unicodedata.normalize("NFC", r) if len(r) > 1 else r)
-        at += len(g)
-        for c in r:
-            if script(c) or unicodedata.combining(c) or ord(c) in INVISIBLE:
-                word.append(c)
+        i = 0
+        while i < len(clusters):
+            g = clusters[i]
+            if len(g) == 1 and g < "\x80":
+                n, r = 1, g
             else:
-                end()
-                out.append(c)
-    end()
-    done = "".join(out)
+                n, r = self.longest(clusters, i) or (1, self.close(g))
+            i += n
+            for c in r:
+                if script(c) or unicodedata.combining(c) or c in INVISIBLE_CHARS:
+                    word.append(c)
+                else:
+                    if word:
+                        end()
+                    out.append(c)
+        if word:
+            end()
+        return "".join(out)
+
+
+@lru_cache(maxsize=1)
+def transducer() -> Transducer:
+    return Transducer(table())
+
+
+def normalize(s: str | None) -> str | None:
+    """The text in its one consistent form. What was taken out may leave marks side by side that compose, so
+    a text that is not composed then is composed."""
+    if s is None or s.isascii():
+        return s
+    done = transducer().run(s)
     return done if unicodedata.is_normalized("NFC", done) else unicodedata.normalize("NFC", done)
 
 
