@@ -10,6 +10,9 @@ where a cue announces the value. A name is taken after a title, after or before
 a person, before a verb phrase only persons have, or as authors cited; a disease, sign, test, ward
 or street named after someone has no such cue.
 
+Reach of the parsers, all of them bounds on one case and not on a text: a street stands within 70
+characters before and 90 after its number, a cue within 32 before a number, a name has five words.
+
 Defined cases: null, empty and blank texts have no cases; texts are read whole, whatever their
 length; positions are code points of the text as stored; of repeated rows each case counts once.
 """
@@ -17,6 +20,7 @@ length; positions are code points of the text as stored; of repeated rows each c
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pandas as pd
@@ -39,6 +43,16 @@ NAME_BEFORE = (
     "segundo", "ligar para", "processo de", "nome:",
 )
 #: What comes right after a person's name.
+#: More of these that are plain words elsewhere: only full names in capital case are taken after them.
+NAME_NEAR = (
+    "spoke with", "spoke to", "speak to", "talked to", "talked with", "met with", "meeting with", "contact", "regards,", "sincerely,", "thanks,", "wishes,", "phone for", "ask for", "written by", "prepared by", "reviewed by", "examined by", "referred by", "accompanied by", "daughter of", "son of", "wife of", "husband of", "my name is", "this is", "attn:", "from:", "to:", "cc:", "author:", "nurse", "doctor", "physician", "surgeon", "for",
+    "s'appelle", "m'appelle", "appeler", "contacter", "parlé avec", "cordialement,", "de la part de", "écrit par", "infirmière", "docteur",
+    "heißt", "heiße", "gesprochen mit", "kontakt:", "ansprechpartner", "grüßen", "grüße,", "verfasst von", "untersucht von", "überwiesen von",
+    "se llama", "me llamo", "hablé con", "contactar con", "contactar a", "saludos,", "atentamente,", "escrito por", "examinado por",
+    "chama-se", "falei com", "contactar", "cumprimentos,", "escrito por",
+)
+#: Words a sentence may begin with and that stand in capitals after such a cue, but in no name.
+PLACES = set("hospital clinic centre center university school department institute street road avenue ward unit office service services group company ltd inc north south east west saint january february march april may june july august september october november december monday tuesday wednesday thursday friday saturday sunday syndrome disease test score sign scale criteria classification type grade stage study trial protocol committee council ministry city county state country".split())
 NAME_AFTER = ("lives at", "lives in", "can be called", "can be reached", "was informed", "gave consent", "et al", "wohnt", "habite", "vive en", "mora na", "mora em")
 ID_BEFORE = (
     "id", "id:", "identity card", "identity no.", "insurance no.", "insurance number", "passport no.", "passport", "ssn", "ssn:", "nhs no.", "mrn", "record no.", "patient no.",
@@ -46,7 +60,7 @@ ID_BEFORE = (
     "n° d'assuré", "nº d'assuré", "numéro d'assuré", "n° de sécurité sociale", "carte d'identité",
     "n.º de identidad", "nº de identidad", "n.° de identidad", "número de identidad", "documento de identidad", "dni", "nie", "n.º de utente", "número de utente",
 )
-PHONE_BEFORE = ("tel", "tel.", "tel:", "phone", "call", "called on", "number on file:", "contact number", "fax", "mobile", "joindre", "au", "unter", "anrufen", "llamar", "al", "telefon", "téléphone", "teléfono", "line")
+PHONE_BEFORE = ("ring", "dial", "tel", "tel.", "tel:", "phone", "call", "called on", "number on file:", "contact number", "fax", "mobile", "joindre", "au", "unter", "anrufen", "llamar", "al", "telefon", "téléphone", "teléfono", "line")
 ADDRESS_BEFORE = ("mail the form to", "lives at", "resides at", "address:", "part au", "part à", "adresse :", "habite au", "habite", "geht an", "wohnt in der", "wohnt", "adresse:", "la carta a", "vive en", "dirección:", "endereço:", "mora na")
 STREETS_EN = "street st road rd avenue ave lane ln row crescent cres close drive dr way place pl court ct square sq terrace grove gardens hill park mews walk boulevard blvd bank green parade rise view highway".split()
 STREETS_ROMANCE = "rue avenue boulevard place impasse chemin allée route quai cours square passage calle plaza plaça avenida avda paseo camino carretera ronda travesía glorieta c/ av rua praça travessa estrada largo via viale piazza".split()
@@ -88,6 +102,7 @@ def automaton():  # noqa: ANN201
     put("digit", "0123456789")
     put("title", {t.lower().rstrip(".") for t in STRICT_TITLES})
     put("before", NAME_BEFORE)
+    put("near", NAME_NEAR)
     put("after", NAME_AFTER)
     put("id", ID_BEFORE)
     put("street", (*(f" {w}" for w in STREETS_EN), *STREETS_ROMANCE, *STREETS_DE, *(f"{p} " for p in GERMAN_PREPOSITIONS)))
@@ -351,11 +366,12 @@ _DE = re.compile(
 def _addresses(text: str, streets: list[int], hits: list[int]) -> list[Span]:
     """Street and house number around the numbers of a text; ``streets``: where street words stand."""
     out: list[Span] = []
-    lowered = text.lower()
+    lowered, streets = text.lower(), sorted(streets)
     for i in hits:
         a = i
         lo, hi = max(0, a - 70), min(len(text), a + 90)
-        if not any(lo <= x < hi for x in streets):
+        k = bisect_left(streets, lo)
+        if k == len(streets) or streets[k] >= hi:
             continue
         window = text[lo:hi]
         for rx, kind in ((_EN, "en"), (_ROMANCE_FIRST, "fr"), (_ROMANCE_LAST, "es"), (_DE, "de")):
@@ -406,6 +422,7 @@ def find(text: str | None) -> list[Span]:
     digits: list[int] = []
     streets: list[int] = []
     before: list[int] = []
+    near: list[int] = []
     after: list[int] = []
     titles: list[tuple[int, int]] = []
     for last, (key, kinds) in automaton().iter(low):
@@ -427,6 +444,8 @@ def find(text: str | None) -> list[Span]:
             titles.append((a, b))
         if "before" in kinds:
             before.append(b)
+        if "near" in kinds:
+            near.append(b)
         if "after" in kinds:
             after.append(a)
         if "id" in kinds:
@@ -477,6 +496,10 @@ def find(text: str | None) -> list[Span]:
         e = _name_forward(text, b, loose=True)
         if e and _person(text, b, e):
             found.append(("name", *e))
+    for b in near:
+        e = _full_name(text, b)
+        if e:
+            found.append(("name", *e))
     for a in after:
         e = _name_backward(text, a)
         if a and e and not (text[e[1] : a].strip(" ,\n\r\t")) and ("\n\n" not in text[e[1] : a]) and _subject(text, a, e):
@@ -484,6 +507,22 @@ def find(text: str | None) -> list[Span]:
     return _settled(found)
 
 
+_FULL = re.compile(rf"[ \t]*\n?[ \t]*((?:[A-ZÀ-Þ][a-zß-ÿ]+|[A-ZÀ-Þ]\.)(?:[ -](?:(?:de|la|del|van|von|der|da|dos|di|le) )*(?:[A-ZÀ-Þ][a-zß-ÿ]+(?:['’\-][A-ZÀ-Þ][a-zß-ÿ]+)*|[A-ZÀ-Þ]\.)){{1,3}})(?![\w'’-])")
+
+
+def _full_name(text: str, i: int) -> tuple[int, int] | None:
+    """A given name or initial and a surname, all in capital case, right after ``i``: two words at least, none
+    of them a place, a title of something or a word that is no name."""
+    m = _FULL.match(text, i)
+    if not m:
+        return None
+    words = [w for w in re.findall(_NAME, m.group(1)) if w.lower() not in PARTICLES]
+    if len(words) < 2 or any(w.lower() in NOT_NAMES or w.lower() in PLACES or w.lower() in STREETS_EN for w in words) or len(words[-1]) < 2:
+        return None
+    after = text[m.end() : m.end() + 14].lstrip().lower()
+    return None if any(after.startswith(w) for w in ("syndrome", "disease", "test", "sign", "score", "street", "road", "ward", "hospital", "scale")) else m.span(1)
+
+
 def _french(text: str, at: int, end: int) -> bool:
     rest = text[end : end + 25].lower()
     return bool(re.match(r"\s+(?:a|est|avait|était|sera|et|va|n['’]|se|ne|doit|peut|prend|vit|habite)\b", rest)) or not re.search(r"(?<!\w)(?:the|of|and|was|by)\b", text[max(0, at - 40) : at])
@@ -522,11 +561,16 @@ def _subject(text: str, at: int, e: tuple[int, int]) -> bool:
 
 
 def _settled(found: list[Span]) -> list[Span]:
+    """The spans without overlaps: by type, then the longer, then the earlier. Those kept are disjoint, so
+    a new one need only be held against its neighbours."""
+    starts: list[int] = []
     out: list[Span] = []
     for k, a, b in sorted(set(found), key=lambda s: (_RANK[s[0]], s[1] - s[2], s[1])):
-        if all(b <= x or a >= y for _, x, y in out):
-            out.append((k, a, b))
-    return sorted(out, key=lambda s: s[1])
+        i = bisect_right(starts, a)
+        if (i == 0 or out[i - 1][2] <= a) and (i == len(out) or b <= out[i][1]):
+            starts.insert(i, a)
+            out.insert(i, (k, a, b))
+    return out
 
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
