@@ -35,7 +35,7 @@ class BurstTrie:
         pass
 
     def __init__(self, capacity: int = CAPACITY) -> None:
-        self.capacity, self.root = capacity, BurstTrie.Leaf()
+        self.capacity, self.root, self.size = capacity, BurstTrie.Leaf(), 0
 
     def add(self, term: str, occurrences: int, records: int) -> None:
         node, parent, at, i = self.root, None, "", 0
@@ -52,6 +52,7 @@ class BurstTrie:
             held[1] += records
             return
         node[rest] = [occurrences, records]
+        self.size += 1
         if len(node) > self.capacity and any(node):
             self._burst(node, parent, at)
 
@@ -103,7 +104,7 @@ def _count(batches: Iterator[pd.DataFrame], most: int = MOST_HELD, in_order: boo
             add = tries.setdefault(str(field), BurstTrie()).add
             for term, o, r in zip(part["term"], part["occurrences"], part["records"], strict=True):
                 add(term, o, r)
-        if sum(map(_held, tries.values())) > most:  # a task's memory: emit and begin again
+        if sum(t.size for t in tries.values()) > most:  # a task's memory: emit and begin again
             open_ = (str(b["field"].iloc[-1]), b["term"].iloc[-1]) if in_order else None
             rest: dict[str, BurstTrie] = {}
             for f in _frames(tries):
@@ -115,17 +116,6 @@ def _count(batches: Iterator[pd.DataFrame], most: int = MOST_HELD, in_order: boo
     yield from _frames(tries)
 
 
-def _held(t: BurstTrie) -> int:
-    n, todo = 0, [t.root]
-    while todo:
-        x = todo.pop()
-        if type(x) is dict:
-            todo += x.values()
-        else:
-            n += len(x)
-    return n
-
-
 SCHEMA = "field string, term string, occurrences bigint, records bigint"
 
 
