@@ -66,20 +66,29 @@ def blocks(sized: DataFrame, plan_: list[dict], block: int, seed: int, per_bucke
     return _ranked(d, "source", "_k", [F.col("_h"), F.col("doc_id")], F.col("n"), "_at").select("source", F.floor(F.col("_at") / block).alias("block"), "doc_id", "n")
 
 
+#: Cells of the unit interval; a point meets only the sources whose weights reach into its cell.
+CELLS = 4096
+
+
 def schedule(spark, plan_: list[dict], block: int, per_bucket: int = 5000) -> DataFrame:  # noqa: ANN001
-    """(slot, source, block, repeat_no): the slots of the mix in order."""
+    """(slot, source, block, repeat_no): the slots of the mix in order.
+
+    A point finds its source in a table of intervals by a join on its cell; the table has a row for every
+    source and cell it reaches into, so ``CELLS`` + MOST_SOURCES at most."""
     due = [(p["source"], p["due"], max(1, -(-p["tokens"] // block)), p["repeats"]) for p in plan_ if p["due"] > 0]
     total = sum(d for _, d, _, _ in due)
     if not due:
         return spark.createDataFrame([], "slot bigint, source string, block bigint, repeat_no bigint")
     slots = -(-int(total) // block)
-    source, n, most = F.lit(None).cast("string"), F.lit(0), F.lit(0)
+    rows, at = [], 0.0
+    for i, (name, d, n, most) in enumerate(due):
+        upto = 1.0 if i == len(due) - 1 else min(1.0, at + d / total)
+        rows += [(c, at, upto, name, n, most) for c in range(int(at * CELLS), min(CELLS, int(upto * CELLS) + 1))]
+        at = upto
+    table = F.broadcast(spark.createDataFrame(rows, "cell int, lo double, hi double, source string, n bigint, most int"))
     point = F.expr(f"(id + 1) * {GOLDEN}D - floor((id + 1) * {GOLDEN}D)")
-    for i in range(len(due) - 1, -1, -1):  # from the last interval to the first: the first upper bound above the point wins
-        name, _, blocks_, repeats = due[i]
-        hit = F.col("point") < F.lit(sum(d[1] for d in due[: i + 1]) / total) if i < len(due) - 1 else F.lit(True)
-        source, n, most = F.when(hit, F.lit(name)).otherwise(source), F.when(hit, F.lit(blocks_)).otherwise(n), F.when(hit, F.lit(repeats)).otherwise(most)
-    s = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point")).select("slot", source.alias("source"), n.alias("n"), most.alias("most"), F.floor(F.col("slot") / per_bucket).alias("_k"))
+    s = spark.range(slots).select(F.col("id").alias("slot"), point.alias("point"), F.floor(F.col("id") / per_bucket).alias("_k"))
+    s = s.withColumn("cell", F.floor(F.col("point") * CELLS).cast("int")).join(table, "cell").where("point >= lo and point < hi").select("slot", "source", "n", "most", "_k")
     r = _ranked(s, "source", "_k", [F.col("slot")], F.lit(1), "rank")
     return r.where("rank < n * most").select("slot", "source", (F.col("rank") % F.col("n")).alias("block"), F.floor(F.col("rank") / F.col("n")).alias("repeat_no"))
 
