@@ -795,6 +795,18 @@ union select 'source', rec_id, parent_no, ev_no, s ->> '$' from s1 where json_ty
 union select 'infon', rec_id, parent_no, -1, item from q4 where item is not null"""
 
 
+_V5 = _NESTED.strip()[: _NESTED.strip().index("c0 as (")].rstrip(", \n")
+_C1 = f"""{_V5},
+c1 as (select rec_id, parent_no entity_no, ev_no, unnest(l) c, cast(generate_subscripts(l, 1) - 1 as int) concept_no from v5),
+c2 as (select * from c1 where json_type(c) <> 'NULL')"""
+
+
+def _below(member: str, no: str) -> str:
+    """SQL of the strings of a list below each concept."""
+    return f"""with {_C1}, d0 as (select * exclude (c), {member} x from c2), d1 as (select * exclude (x), {_json_list("x")} l from d0), d2 as (select * exclude (l), unnest(l) s, cast(generate_subscripts(l, 1) - 1 as int) {no} from d1)
+select distinct rec_id, entity_no, ev_no, concept_no, {no}, s ->> '$' as value from d2 where json_type(s) <> 'NULL'"""
+
+
 def oracle_sql() -> dict[str, str]:
     one = r"regexp_replace(text, '[\t\r\n|]', ' ', 'g')"
     lines = rf"x as (select doc_id, cast(doc_id as varchar) docid, {one} t from documents where text is not null)"
@@ -864,6 +876,19 @@ r1 as (select docid, "start", "end", term, list_filter(list_distinct_ordered, la
 r2 as (select *, row_number() over w no, sum(len(refs)) over w - len(refs) bf from r1 window w as (partition by docid order by "start", "end", term)),
 r3 as (select docid, no, 0 part, 'T' || no || chr(9) || 'Concept ' || "start" || ' ' || "end" || chr(9) || term line from r2 union all select docid, no, k, 'N' || (bf + k) || chr(9) || 'Reference T' || no || ' ' || ref from (select docid, no, bf, unnest(refs) ref, generate_subscripts(refs, 1) k from r2))
 select docid, no, cast(part as int) part, line from r3""",
+        "f3_mmi_lines": f"""with recursive {_FULL}, {_CODES.replace('{NM}', '')},
+oc as (select docid, fu.cui, any_value(preferred_name) preferred_name, any_value(abbrev) abbrev, count(*) frequency, coalesce(arg_min(coalesce(fieldid in ('title', 'TI'), false), (passage_id, "start", "length")), false) title, list(coalesce(fieldid, 'text') order by passage_id, "start", "length") fields,
+  string_agg('"' || concept_string || '"-' || coalesce(fieldid, 'text') || '-' || window_no || '-"' || term || '"--' || negated::int, ',' order by passage_id, "start", "length") occ, string_agg("start" || '/' || "length", ';' order by passage_id, "start", "length") pl from fu group by docid, fu.cui),
+sx as (select oc.*, coalesce(codes, []::varchar[]) codes from oc left join cd using (cui)),
+sy as (select *, (14.0 * greatest(1, coalesce(list_sum(list_transform(codes, lambda c: len(string_split(c, '.')))), 0)) / 8) / 15 spec, ln(((exp(5) + 1) + (exp(5) - 1) * least(1.0, frequency / 1000.0)) / ((exp(5) + 1) - (exp(5) - 1) * least(1.0, frequency / 1000.0))) / 5 nf from sx)
+select docid, preferred_name, concat_ws('|', docid, 'MMI', format('{{:.2f}}', 10000 * case when title then spec else nf * spec end), preferred_name, cui, '[' || coalesce(abbrev, '') || ']', occ, array_to_string(list_filter(fields, lambda v, i: list_position(fields, v) = i), ';'), pl, array_to_string(codes, ';'), '') line from sy""",
+        "p3_sources": _below(_nn("(c -> 'sources')"), "source_no"),
+        "p3_semantic_types": _below(f"coalesce({_nn("(c -> 'semantic_types')")}, {_nn("(c -> 'semantictypes')")})", "semantic_type_no"),
+        "p3_infons": f"""with {_NESTED.strip()[: _NESTED.strip().index("q4 as (")].rstrip(", " + chr(10))},
+k0 as (select rec_id, parent_no, f, unnest(json_keys(f)) item from q3 where json_type(f) = 'OBJECT'),
+k1 as (select rec_id, parent_no, unnest(json_extract(f, '$[*]')) e, generate_subscripts(json_extract(f, '$[*]'), 1) - 1 n from q3 where json_type(f) = 'ARRAY')
+select distinct rec_id, parent_no passage_no, cast(null as int) infon_no, item, {_nn("(f -> item)")} ->> '$' as value from k0
+union select rec_id, parent_no, cast(n as int), e ->> 'key', {_nn("(e -> 'value')")} ->> '$' from k1 where e ->> 'key' is not null""",
         "t1_sentences": f"with {_SENT} select passage_id, sent_idx, sent_start, sent from se",
         "t3_lines": rf"with x as (select doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\r|\n)', chr(1) || '\1' || chr(1), 'g'), chr(1)) l from documents where text is not null), y as (select doc_id, unnest(l) as text, generate_subscripts(l, 1) k from x), z as (select *, cast(sum(length(text)) over (partition by doc_id order by k) - length(text) as int) \"start\" from y) select doc_id, cast(row_number() over (partition by doc_id order by k) - 1 as int) i, \"start\", text from z where k % 2 = 1 and regexp_replace(text, '[{_SP}]+', '', 'g') <> ''".replace('\\"', '"'),
         "t5_tokens": f"""with {_P}, t0 as (select passage_id, regexp_extract_all(text, '[^{_SEP}]+|[{_SEP}]') toks from p), t1 as (select passage_id, unnest(toks) token, cast(generate_subscripts(toks, 1) - 1 as int) tok from t0) select passage_id, tok, cast(sum(length(token)) over (partition by passage_id order by tok) - length(token) as int) tok_start, token from t1""",
