@@ -204,6 +204,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"with {_BASKETS} select cui_a, cui_b from s where lift >= 5",
         "p2_scores": f"with {_BASKETS} select cui_a, cui_b, n_ab, n_a, n_b, round(lift, 6) lift from s",
+        "p8_round_trip": "select doc_id, true same, true covered from documents",
         "p7_counts": f"with {_COUNTS} select * from c",
         "p7_marks": f"with {_COUNTS} select * from k",
         "p7_found": f"with {_COUNTS} select field, term, mark from k where mark <> ''",

@@ -44,6 +44,46 @@ def test_pii_keeps_the_rest(spark):
     assert [r["x"] for r in df.select(pii.redacted(F.col("text")).alias("x")).collect()][:3] == HARD[:3]
 
 
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("I spoke with Maria Garcia yesterday.", "Maria Garcia"), ("Best regards, Peter Brown", "Peter Brown"), ("Il s'appelle Jean Dupont.", "Jean Dupont"), ("Ring 555-123-4567 for Karen White.", "Karen White"),
+        ("The form was prepared by Anna-Lena Vogt.", "Anna-Lena Vogt"), ("Se llama Lucía Ortega.", "Lucía Ortega"), ("Sie heißt Greta van der Berg.", "Greta van der Berg"), ("Reviewed by J. K. Omondi on Monday.", "J. K. Omondi"),
+        ("We met with Saint Mary Hospital staff.", None), ("This is Parkinson Disease.", None), ("A budget for North America was set.", None),
+    ],
+)
+def test_names_in_other_frames(text, name):
+    assert [text[a:b] for k, a, b in pii.find(text) if k == "name"] == ([name] if name else [])
+
+
+def _in_proportion(run, text, n=1500):
+    import time
+
+    def took(k):
+        t = time.perf_counter()
+        run(text * k)
+        return time.perf_counter() - t
+
+    took(10)
+    small = min(took(n) for _ in range(2))
+    assert min(took(4 * n) for _ in range(2)) < 9 * small + 0.2
+
+
+@pytest.mark.parametrize("text", ["Call +44 7700 900112. ", "Flat 4, 75 Quillfern Row. ", "Dear Ms Ada Lovelace, "])
+def test_pii_takes_time_in_proportion(text):
+    _in_proportion(pii.find, text)
+
+
+@pytest.mark.parametrize("text", ["see e.g. the i.e. part vs. x ", "a line that runs\nover many ", "(((", "a.b.c.d", "the 5. of it "])
+def test_sentences_take_time_in_proportion(text):
+    _in_proportion(sentences.split, text)
+
+
+@pytest.mark.parametrize("text", ["\u202aa", "е\u0301a ", "Ｖ\u200d"])
+def test_lookalike_takes_time_in_proportion(text):
+    _in_proportion(lookalike.normalize, text)
+
+
 def test_redacted_tables(spark, tmp_path):
     from termloom.llm import queries
 
@@ -170,9 +210,33 @@ def test_sentences_cases(spark):
     assert not [r for r in got if r["id"] < 3]
 
 
+def test_sentences_in_other_frames():
+    for parts in (
+        ["She boards at 5 p.m. on Fridays.", "The fee is 3.5 % of the total.", "Prof. Abara agreed."],
+        ["Siehe Abb. 4 auf S. 12.", "Danach z. B. die Leber.", "Er kam am 5. Juni."],
+        ["Voir p. 12 et fig. 3.", "« Pourquoi pas ? » demanda-t-elle.", "Fin."],
+        ["El Dr. Ruiz llegó a las 8 a.m. con la Sra. Paz.", "¿Quién firmó?", "Nadie."],
+    ):
+        text = " ".join(parts)
+        assert [text[a:b] for a, b in sentences.split(text)] == parts
+
+
 # --- 6
 
 
+def test_forms_letter_by_letter_equal_whole_words():
+    import pandas as pd
+
+    words = ["Entzündung", "Болезнь", "投与量を減らした", "Σίγμα", "naïve—x", "ﾌﾟ", "ÄÖ", "\ufffdx"]
+    made = {(g, w) for g, w, _ in next(encoding._word_forms(iter([pd.DataFrame({"unit": words, "n": [1] * len(words)})]))).itertuples(index=False)}
+    want = set()
+    for w in words:
+        want |= {(g, w) for g in encoding.forms(w, encoding.UTF8_AS + encoding.TWICE + encoding.EASTERN * any(c >= "\u1100" for c in w))}
+        for v in {w, w.lower(), w.capitalize(), w.upper()}:
+            want |= {(g, v) for g in encoding.forms(v, encoding.CROSSED + encoding.LOST) if g.strip("\ufffd")}
+    assert made == want
+
+
 def test_encoding(spark):
     clean = ["Entzündung der Gefäße", "Infección crónica", "Болезнь Лаветибу", "médecin noté", "投与量を減らした。", "«Así está bien»"] * 3
     wrong = ["EntzÃ¼ndung der Leber", "Infecci—n", "Áîëåçíü Ëàâåòèáó", "mŽdecin", "L├⌐ger", "Caf�", "MÃƒÂ¶bel", "ˆ“—^—Ê‚ð"]
@@ -292,6 +356,37 @@ def test_subjects_held_out(spark):
     assert subjects.assign(docs, labels.limit(0))[0].count() == 0
 
 
+def test_grown_rules_equal_all_patterns():
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(7)]
+    rows = [(sorted(rnd.sample(words, rnd.randrange(1, 6))), sorted(rnd.sample(["a", "b"], rnd.randrange(3)))) for _ in range(60)]
+    want = {}
+    for k in range(1, subjects.LONGEST + 1):
+        for p in combinations(words, k):
+            hit = [s for ws, s in rows if set(p) <= set(ws)]
+            for subject in "ab":
+                n = sum(subject in s for s in hit)
+                if n >= 3 and n / len(hit) >= 0.4:
+                    want[p, subject] = (n, n / len(hit))
+    got = {}
+    for w in words:
+        held = [(ws[: ws.index(w)], s) for ws, s in rows if w in ws]
+        if held:
+            for p, subject, n, c in subjects.grown(w, [b for b, _ in held], [s for _, s in held], 3, 0.4):
+                assert (tuple(p), subject) not in got
+                got[tuple(p), subject] = (n, c)
+    assert got == want
+
+
+def test_matching_rules_of_a_long_sentence():
+    rules = {("a",): [("s", 0.5)], ("a", "c"): [("s", 0.9)], ("b", "x"): [("t", 0.8)]}
+    words = frozenset(w for a in rules for w in a)
+    tree = subjects.compiled(rules)
+    assert subjects.evidence("C and a. B alone. X b", tree, words) == {"s": 0.9, "t": 0.8}
+    many = {(f"v{i:04}",): [("s", 0.5)] for i in range(3000)}
+    _in_proportion(lambda t: subjects.evidence(t, subjects.compiled(many), frozenset(w for a in many for w in a)), "".join(f"v{i:04} " for i in range(300)).replace("0", "o"), 5)
+
+
 def test_isotonic():
     import numpy as np
 
