@@ -59,25 +59,33 @@ def _trimmed_span(piece: Column, start: Column) -> Column:
     return F.struct((start + lead).cast("int").alias("start"), F.regexp_replace(piece, f"^[{SPACE_ALL}]++|(?<![{SPACE_ALL}])[{SPACE_ALL}]++$", "").alias("text"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it: what a lambda takes from
+    outside would be worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(a: Column) -> Column:
+    init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(a, init, lambda x, n: F.struct((x["at"] + n).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out")), lambda x: x["out"])
+
+
 def _starts(lengths: Column) -> Column:
     """array<int>: the sum of all lengths before each one.
 
     An array grows by copying, so a sum is carried over blocks first and within a block next: the work
     stays in proportion to the array up to millions of pieces."""
 
-    def running(a: Column) -> Column:
-        init = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        return F.aggregate(a, init, lambda x, n: F.struct((x["at"] + n).alias("at"), F.concat(x["out"], F.array(x["at"])).alias("out")), lambda x: x["out"])
+    def long(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda k: F.slice(a, k * _BLOCK + 1, F.lit(_BLOCK)))
+        return _bound(blocks, lambda b: F.flatten(F.zip_with(b, _running(F.transform(b, lambda x: F.aggregate(x, F.lit(0), lambda y, n: y + n))), lambda x, at: F.transform(_running(x), lambda y: y + at))))
 
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda k: F.slice(lengths, k * _BLOCK + 1, F.lit(_BLOCK)))
-    sums = running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda x, n: x + n)))
-    long = F.flatten(F.zip_with(blocks, sums, lambda b, at: F.transform(running(b), lambda x: x + at)))
-    return F.when(F.size(lengths) <= _BLOCK, running(lengths)).otherwise(long)
+    return _bound(lengths, lambda a: F.when(F.size(a) <= _BLOCK, _running(a)).otherwise(long(a)))
 
 
 def _spans(pieces: Column) -> Column:
     """array<struct<start,text>>: consecutive pieces with the position each begins at."""
-    return F.zip_with(_starts(F.transform(pieces, F.length)), pieces, lambda at, p: F.struct(at.alias("start"), p.alias("text")))
+    return _bound(pieces, lambda p: F.zip_with(_starts(F.transform(p, F.length)), p, lambda at, x: F.struct(at.alias("start"), x.alias("text"))))
 
 
 def _cuttable(text: Column) -> Column:

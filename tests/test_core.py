@@ -97,7 +97,7 @@ def test_queries_with_the_whole_lexicon(spark, tmp_path):
     spark.createDataFrame([(o, c, f"S{o}", s, s, "A", "PT") for o, c, s in known], "ord bigint, cui string, sui string, str string, norm string, sab string, tty string").write.parquet(f"{tmp_path}/cuisourceinfo.parquet")
     spark.createDataFrame([(c, s) for _, c, s in known], "cui string, preferred_name string").write.parquet(f"{tmp_path}/concepts.parquet")
     want = {(0, "C0000000", True), (1, "C0000000", True), (1, "C0000001", False), (2, "C0000002", False)}
-    for name in ("flagship", "n5_negation_all"):
+    for name in ("flagship", "n5_negation", "n5_negation_joined"):
         assert {(r["passage_id"], r["cui"], r["negated"]) for r in queries.queries()[name](spark, str(tmp_path)).collect()} == want
     many = spark.range(negation.MOST_PHRASES + 1).selectExpr("array(string(id)) phrase", "'nega' kind", "int(id) lex_ord")
     with pytest.raises(ValueError, match="trigger phrases"):
