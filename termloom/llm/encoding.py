@@ -187,7 +187,7 @@ def units(text: Column) -> Column:
     """array<string>: the units of a text, each with and without ASCII marks around it."""
     edges = F.regexp_replace(text, f"(?<=[{_CJK}])(?=[^{_CJK}])|(?<=[^{_CJK}])(?=[{_CJK}])", " ")
     apart = F.regexp_replace(F.when(text.rlike(f"[{_CJK}]"), edges).otherwise(text), _cut(), "$1 ")
-    raw = F.filter(F.split(apart, r"[\x00-\x20\x7f0-9]+"), lambda w: w.rlike(r"[^\x00-\x7f]"))
+    raw = F.regexp_extract_all(apart, F.lit(r"(?<![^\x00-\x20\x7f0-9])([\x21-\x2f\x3a-\x7e]*+[^\x00-\x7f][^\x00-\x20\x7f0-9]*+)"), F.lit(1))
     core = F.transform(raw, lambda u: F.regexp_replace(u, r"^[!-/:-@\[-`{-~]++|(?<![!-/:-@\[-`{-~])[!-/:-@\[-`{-~]++$", ""))
     return F.array_distinct(F.concat(raw, core))
 
@@ -350,7 +350,7 @@ def repairs(vocab: DataFrame) -> DataFrame:
     by_word = met.groupBy("unit").agg(F.max_by("word", F.struct("word_n", "word")).alias("original"))
     chars = clean.select(F.explode(F.array_distinct(F.split("unit", ""))).alias("char")).where("char rlike '[^\\\\x00-\\\\x7f]'").distinct()
     small = chars.mapInPandas(_char_forms, "piece string, char string, chain string")
-    seen = v.where("bad > 0").select("unit").mapInPandas(_pieces, "unit string, chain string, piece string")
+    seen = v.where("bad > 0").select("unit").repartition(cores * 2).mapInPandas(_pieces, "unit string, chain string, piece string")
     hits = seen.join(small, ["piece", "chain"]).groupBy("unit", "chain").agg(F.collect_set(F.struct("piece", "char")).alias("pieces"))
     tried = hits.withColumn("original", F.pandas_udf(_restore, "string")("unit", "chain", "pieces"))
     tried = tried.withColumn("left", F.pandas_udf(_scored, "int")("original"))
