@@ -192,10 +192,10 @@ def _summed(parts: list[DataFrame], *by: str) -> DataFrame:
     return out.where("n <> 0")
 
 
-def concept_baskets(entities: DataFrame, evidence: DataFrame, concepts: DataFrame) -> DataFrame:
+def concept_baskets(entities: DataFrame, evidence: DataFrame, concepts: DataFrame, cut: object = None) -> DataFrame:
     """(basket, item, late): the known concepts found under each docid, each once; ``late`` if all its spans
-    were loaded more than a day after they were found."""
-    late = F.coalesce(F.col("loaded_at") > F.col("found_at") + F.expr("interval 1 day"), F.lit(False))
+    were loaded after ``cut``."""
+    late = F.coalesce(F.col("loaded_at") > F.lit(cut), F.lit(False)) if cut is not None else F.lit(False)
     e = entities.where("docid is not null").select("entity_id", "docid", late.alias("late"))
     v = evidence.where("cui is not null").select("entity_id", "cui").join(concepts.select("cui").distinct(), "cui", "left_semi")
     return e.join(v, "entity_id").groupBy(F.col("docid").alias("basket"), F.col("cui").alias("item")).agg(F.min("late").alias("late"))

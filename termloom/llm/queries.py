@@ -31,11 +31,12 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_store(spark: SparkSession, d: str) -> tuple[cooccur.PairStore, int, int]:
-    """The store after two changes: what was loaded in time, and the baskets that late rows changed."""
+    """The store after two changes: what was loaded by the time the last span was found, and the baskets
+    that later deliveries changed."""
     entities = read(spark, d, "entities")
-    total = entities.agg(F.count_distinct("docid")).first()[0]
+    total, cut = entities.agg(F.count_distinct("docid"), F.max("found_at")).first()
     least = max(5, -(-3 * total // 1000))
-    members = kept(cooccur.concept_baskets(entities, read(spark, d, "evidence"), read(spark, d, "concepts")), "members")
+    members = kept(cooccur.concept_baskets(entities, read(spark, d, "evidence"), read(spark, d, "concepts"), cut), "members")
     store = cooccur.PairStore(spark).apply(members.where("not late").select("basket", "item"))
     changed = members.where("late").select("basket").distinct()
     return store.apply(members.join(changed, "basket", "left_semi").select("basket", "item")), total, least
@@ -54,6 +55,12 @@ def p2_scores(spark: SparkSession, d: str) -> DataFrame:
     return store.scores(total, least).select(F.col("item_a").alias("cui_a"), F.col("item_b").alias("cui_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
 
 
+def p2_affected(spark: SparkSession, d: str) -> DataFrame:
+    """Of the frequent pairs those whose score the last change moved."""
+    store, total, least = p2_store(spark, d)
+    return store.affected(total, least).select(F.col("item_a").alias("cui_a"), F.col("item_b").alias("cui_b"), "n_ab", "n_a", "n_b", F.round("lift", 6).alias("lift"))
+
+
 def p4_normal(spark: SparkSession, d: str) -> DataFrame:
     """Values not in their consistent form, with it; rows decoded wrongly are left out."""
     c, e = read(spark, d, "cuisourceinfo"), read(spark, d, "entities")
@@ -205,6 +212,11 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": f"with {_BASKETS} select cui_a, cui_b from s where lift >= 5",
         "p2_scores": f"with {_BASKETS} select cui_a, cui_b, n_ab, n_a, n_b, round(lift, 6) lift from s",
         "p8_round_trip": "select doc_id, true same, true covered from documents",
+        "p2_affected": f"""with {_BASKETS.strip()}, cut as (select max(found_at) t from entities),
+ol as (select distinct e.docid, v.cui from entities e join evidence v using (entity_id) join (select distinct cui from concepts) c on c.cui = v.cui, cut where e.docid is not null and (e.loaded_at is null or e.loaded_at <= cut.t)),
+nb as (select * from b except select * from ol), tb as (select distinct docid from nb),
+ch as (select distinct x.cui cui_a, y.cui cui_b from nb x join b y on x.docid = y.docid and x.cui < y.cui union select distinct y.cui, x.cui from nb x join b y on x.docid = y.docid and y.cui < x.cui)
+select cui_a, cui_b, n_ab, n_a, n_b, round(lift, 6) lift from s where cui_a in (select cui from nb) or cui_b in (select cui from nb) or (cui_a, cui_b) in (select (cui_a, cui_b) from ch)""",
         "p7_counts": f"with {_COUNTS} select * from c",
         "p7_marks": f"with {_COUNTS} select * from k",
         "p7_found": f"with {_COUNTS} select field, term, mark from k where mark <> ''",
