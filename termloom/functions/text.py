@@ -10,6 +10,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -148,8 +149,6 @@ def register_segmenter(name: str, spans: Callable[[str], list[tuple[int, int]]])
         return [{"start": a, "text": text[a:b]} for a, b in found]
 
     def column(text: Column) -> Column:
-        import pandas as pd
-
         @F.pandas_udf("array<struct<start:int,text:string>>")
         def run(s: pd.Series) -> pd.Series:
             return s.map(cut)

@@ -185,6 +185,7 @@ def test_propagation_query(spark, tmp_path):
 
     passages(spark, "x", "Type 2 diabetes mellitus (T2DM) is common. T2DM is treatable.", "Pneumonia again.", "Pneumonia of long standing.").write.parquet(f"{tmp_path}/passages.parquet")
     names(spark).write.parquet(f"{tmp_path}/cuisourceinfo.parquet")
+    spark.createDataFrame([("C0000001", "Pneumonia")], "cui string, preferred_name string").write.parquet(f"{tmp_path}/concepts.parquet")
     got = queries.a4_propagation(spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == {(1, 26, 4, "T2DM", "C2"), (1, 43, 4, "T2DM", "C2")}
 
