@@ -19,9 +19,11 @@ and repeated labels are ignored; without labels there are no rules and no assign
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +39,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 LONGEST = 3
 #: Rules are the model that goes to every task: the surest this many, and of equal ones the best supported.
 MOST_RULES = 200_000
+#: A rule is needed only if it is surer by more than this than every rule of fewer of its words.
+SURER = 0.02
 #: One labelled document in so many calibrates; the others give the rules.
 HELD_OUT = 4
 
@@ -99,11 +103,29 @@ def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _grow(part: pd.DataFrame, support: int, confidence: float) -> pd.DataFrame:
-    return pd.DataFrame(list(grown(part["word"].iloc[0], list(part["before"]), list(part["subjects"]), support, confidence)), columns=["antecedent", "subject", "support", "confidence"])
+    """The rules of a group. No rule is compared with one of the greatest length, so such a rule is left out here
+    if a shorter one of its group concludes the same as surely."""
+    rows = list(grown(part["word"].iloc[0], list(part["before"]), list(part["subjects"]), support, confidence))
+    sure = {(tuple(a), s): c for a, s, _, c in rows if len(a) < LONGEST}
+    needed = [r for r in rows if len(r[0]) < LONGEST or all(r[3] > sure.get((p, r[1]), -1) + SURER for k in range(1, LONGEST) for p in combinations(r[0], k))]
+    return pd.DataFrame(needed, columns=["antecedent", "subject", "support", "confidence"])
 
 
-def mine(texts: DataFrame, most_labels: int, support: int, confidence: float) -> dict[tuple[str, ...], list[tuple[str, float]]]:
-    """The pruned rules of labelled texts (doc_id, subjects, text): antecedent to (subject, confidence)."""
+def pruned(found: DataFrame) -> DataFrame:
+    """Of rules (antecedent, subject, confidence, ...) those that no rule of fewer of their words makes needless."""
+    subsets = F.expr("transform(sequence(1, cast(pow(2, size(antecedent)) as int) - 2), m -> filter(antecedent, (x, i) -> shiftright(m, i) % 2 = 1))")
+    parts = found.where("size(antecedent) > 1").select("antecedent", "subject", F.explode(subsets).alias("part"))
+    by = found.where(F.size("antecedent") < LONGEST).select(F.col("antecedent").alias("part"), "subject", F.col("confidence").alias("c"))
+    best = parts.join(by, ["part", "subject"]).groupBy("antecedent", "subject").agg(F.max("c").alias("shorter"))
+    return found.join(best, ["antecedent", "subject"], "left").where(F.col("shorter").isNull() | (F.col("confidence") > F.col("shorter") + SURER)).drop("shorter")
+
+
+_RULES = "antecedent array<string>, subject string, support int, confidence double"
+
+
+def mine(texts: DataFrame, most_labels: int, support: int, confidence: float) -> DataFrame:
+    """(antecedent, subject, support, confidence): the pruned rules of labelled texts (doc_id, subjects, text).
+    They are pruned where they were grown and stay a table; the driver sees none."""
 
     @F.pandas_udf("array<array<string>>")
     def cut(s: pd.Series) -> pd.Series:
@@ -113,7 +135,7 @@ def mine(texts: DataFrame, most_labels: int, support: int, confidence: float) ->
     docs = texts.select("doc_id", "subjects")
     n = docs.count()
     if not n:
-        return {}
+        return texts.sparkSession.createDataFrame([], _RULES)
     base = docs.select(F.explode("subjects").alias("subject")).groupBy("subject").agg((F.count(F.lit(1)) / n).alias("p"))
     held = sent.select("doc_id", "subjects", F.explode("words").alias("word")).distinct()
     total = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
@@ -128,15 +150,9 @@ def mine(texts: DataFrame, most_labels: int, support: int, confidence: float) ->
         return _grow(part, support, confidence)
 
     grouped = baskets.select("words", "subjects").mapInPandas(_groups, "word string, before array<string>, subjects array<string>")
-    found = grouped.groupBy("word").applyInPandas(grow, "antecedent array<string>, subject string, support int, confidence double")
-    got = found.orderBy(F.col("confidence").desc(), F.col("support").desc(), "antecedent", "subject").limit(MOST_RULES).collect()
-    sure = {(tuple(r["antecedent"]), r["subject"]): r["confidence"] for r in got}
-    out: dict[tuple[str, ...], list[tuple[str, float]]] = {}
-    for (a, s), c in sure.items():
-        shorter = [sure[p, s] for k in range(1, len(a)) for p in combinations(a, k) if (p, s) in sure]
-        if not shorter or c > max(shorter) + 0.02:
-            out.setdefault(a, []).append((s, float(c)))
-    return out
+    found = kept(grouped.groupBy("word").applyInPandas(grow, _RULES), "rules-found")
+    most = found.orderBy(F.col("confidence").desc(), F.col("support").desc(), "antecedent", "subject").limit(MOST_RULES)
+    return kept(pruned(most), "rules")
 
 
 def compiled(rules: dict[tuple[str, ...], list[tuple[str, float]]]) -> dict:
@@ -178,13 +194,29 @@ def evidence(text: str | None, tree: dict, vocabulary: frozenset[str]) -> dict[s
     return out
 
 
-def scores(docs: DataFrame, rules: dict) -> DataFrame:
-    """(doc_id, subject, score) of every document and subject with any evidence."""
-    sent = docs.sparkSession.sparkContext.broadcast((compiled(rules), frozenset(w for a in rules for w in a)))
+def _packed(part: pd.DataFrame) -> pd.DataFrame:
+    """Rules as the bytes of their tree and its words."""
+    rules: dict[tuple[str, ...], list[tuple[str, float]]] = {}
+    for a, s, c in zip(part["antecedent"], part["subject"], part["confidence"], strict=True):
+        rules.setdefault(tuple(a), []).append((s, float(c)))
+    return pd.DataFrame({"tree": [pickle.dumps((compiled(rules), frozenset(w for a in rules for w in a)))]})
+
+
+@lru_cache(maxsize=1)
+def _unpacked(tree: bytes) -> tuple[dict, frozenset[str]]:
+    """Once for all tasks of a worker."""
+    return pickle.loads(tree)
+
+
+def scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, subject, score) of every document and subject with any evidence. The tree of the rules is made
+    by a task, and only its bytes pass through the driver."""
+    trees = [bytes(r["tree"]) for r in rules.groupBy().applyInPandas(_packed, "tree binary").collect()]
+    sent = docs.sparkSession.sparkContext.broadcast(trees[0] if trees else pickle.dumps(({}, frozenset())))
 
     @F.pandas_udf("array<struct<subject:string,score:double>>")
     def run(s: pd.Series) -> pd.Series:
-        r, v = sent.value
+        r, v = _unpacked(sent.value)
         return s.map(lambda t: [{"subject": k, "score": x} for k, x in sorted(evidence(t, r, v).items())])
 
     d = spread(docs.select("doc_id", "text").where("text is not null"))
@@ -223,7 +255,10 @@ def assign(docs: DataFrame, labels: DataFrame, most_labels: int = 100_000, suppo
     rules = mine(texts, most_labels, support, confidence)
     scored = kept(scores(docs, rules), "scores")
     steps = calibrate(scored, chosen.where("held").drop("held"))
+    # one flat choice, the highest score first; where the probability does not rise no step is needed
+    rises = [x for k, x in enumerate(steps) if not k or x[1] > steps[k - 1][1]]
     p = F.lit(0.0)
-    for at, prob in steps:
-        p = F.when(F.col("score") >= F.lit(at - 1e-9), F.lit(prob)).otherwise(p)
+    for k, (at, prob) in enumerate(reversed(rises)):
+        p = (F if not k else p).when(F.col("score") >= F.lit(at - 1e-9), F.lit(prob))
+    p = p.otherwise(F.lit(0.0)) if rises else p
     return scored.withColumn("probability", p).where(F.col("probability") >= least), scored

@@ -378,6 +378,40 @@ def test_grown_rules_equal_all_patterns():
     assert got == want
 
 
+def _labelled(spark, n):
+    """Documents of many rules of one, two and three words, and their labels."""
+    rnd = random.Random(8)
+    topics = {s: [f"{s}{chr(97 + i)}word" for i in range(12)] for s in ("sport", "law")}
+    made = [(i, s, ". ".join(" ".join(rnd.sample(topics[s] + ["desk", "visit"], 5) + rnd.sample(topics["law"], i % 2)) for _ in range(4))) for i in range(n) for s in [rnd.choice(["sport", "law"])]]
+    return spark.createDataFrame([(i, t) for i, _, t in made], "doc_id bigint, text string"), spark.createDataFrame([(i, s) for i, s, _ in made], "doc_id bigint, subject string")
+
+
+def test_rules_are_no_burden_of_the_driver(spark, monkeypatch):
+    docs, labels = _labelled(spark, 60)
+    frame, seen = type(docs), []
+    collect = frame.collect
+
+    def counted(df):
+        seen.append(collect(df))
+        return seen[-1]
+
+    monkeypatch.setattr(frame, "collect", counted)
+    subjects.assign(docs, labels)
+    monkeypatch.undo()
+    texts = docs.join(labels.select("doc_id", F.array("subject").alias("subjects")), "doc_id")
+    rules = subjects.mine(texts, 1000, 3, 0.4)
+    assert rules.count() > 50 and max(map(len, seen)) < 50  # the bins of the scores at most
+    assert len({(tuple(r["antecedent"]), r["subject"]) for r in rules.collect()}) == rules.count()
+
+
+def test_pruned_rules_equal_those_compared_one_by_one(spark):
+    rnd = random.Random(3)
+    sure = {(p, s): rnd.randrange(40, 100) / 100 for k in (1, 2, 3) for p in combinations("abcdef", k) for s in "xy" if rnd.random() < 0.7}
+    want = {(a, s) for (a, s), c in sure.items() if all(c > sure.get((p, s), -1) + subjects.SURER for k in range(1, len(a)) for p in combinations(a, k))}
+    found = spark.createDataFrame([(list(a), s, 3, c) for (a, s), c in sure.items()], subjects._RULES)
+    assert {(tuple(r["antecedent"]), r["subject"]) for r in subjects.pruned(found).collect()} == want
+
+
 def test_matching_rules_of_a_long_sentence():
     rules = {("a",): [("s", 0.5)], ("a", "c"): [("s", 0.9)], ("b", "x"): [("t", 0.8)]}
     words = frozenset(w for a in rules for w in a)
