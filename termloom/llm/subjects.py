@@ -10,7 +10,7 @@ its best matching rule; the sums over a document are calibrated by isotonic regr
 documents that no rule was mined from, and a subject is assigned from a probability of 0.5 on.
 
 Only the labelled sample is bounded (``most_labels``, whole documents in the order of a hash);
-every document is scored whole.
+every document is scored whole, by all rules (``scores``).
 
 Defined cases: null, empty and blank texts have no subject; labels 'none' and null subjects count as
 labelled without subject; conflicting labels of a document all count; labels of unknown documents
@@ -22,13 +22,14 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.session import kept, spread
@@ -37,7 +38,7 @@ _SENTENCE = re.compile(r"(?<=[.!?。！？])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words in an antecedent at most.
 LONGEST = 3
-#: Rules are the model that goes to every task: the surest this many, and of equal ones the best supported.
+#: Rules a task holds at once; more are matched a part at a time, every part over all documents.
 MOST_RULES = 200_000
 #: A rule is needed only if it is surer by more than this than every rule of fewer of its words.
 SURER = 0.02
@@ -151,8 +152,7 @@ def mine(texts: DataFrame, most_labels: int, support: int, confidence: float) ->
 
     grouped = baskets.select("words", "subjects").mapInPandas(_groups, "word string, before array<string>, subjects array<string>")
     found = kept(grouped.groupBy("word").applyInPandas(grow, _RULES), "rules-found")
-    most = found.orderBy(F.col("confidence").desc(), F.col("support").desc(), "antecedent", "subject").limit(MOST_RULES)
-    return kept(pruned(most), "rules")
+    return kept(pruned(found), "rules")
 
 
 def compiled(rules: dict[tuple[str, ...], list[tuple[str, float]]]) -> dict:
@@ -180,17 +180,23 @@ def _matching(node: dict, known: list[str], at: int) -> Iterator[tuple[str, floa
         yield from _matching(node[w], known, at + i + 1)
 
 
-def evidence(text: str | None, tree: dict, vocabulary: frozenset[str]) -> dict[str, float]:
-    """Summed confidence of each subject over the sentences of a text."""
-    out: dict[str, float] = {}
-    for ws in sentence_words(text):
+def surest(text: str | None, tree: dict, vocabulary: frozenset[str]) -> Iterator[tuple[int, str, float]]:
+    """(no, subject, confidence): the best matching rule for each sentence of a text and each subject."""
+    for no, ws in enumerate(sentence_words(text)):
         known = sorted(w for w in ws if w in vocabulary)
         best: dict[str, float] = {}
         for s, c in _matching(tree, known, 0) if known else ():
             if c > best.get(s, 0.0):
                 best[s] = c
         for s, c in best.items():
-            out[s] = out.get(s, 0.0) + c
+            yield no, s, c
+
+
+def evidence(text: str | None, tree: dict, vocabulary: frozenset[str]) -> dict[str, float]:
+    """Summed confidence of each subject over the sentences of a text."""
+    out: dict[str, float] = {}
+    for _, s, c in surest(text, tree, vocabulary):
+        out[s] = out.get(s, 0.0) + c
     return out
 
 
@@ -209,18 +215,45 @@ def _unpacked(tree: bytes) -> tuple[dict, frozenset[str]]:
 
 
 def scores(docs: DataFrame, rules: DataFrame) -> DataFrame:
-    """(doc_id, subject, score) of every document and subject with any evidence. The tree of the rules is made
-    by a task, and only its bytes pass through the driver."""
-    trees = [bytes(r["tree"]) for r in rules.groupBy().applyInPandas(_packed, "tree binary").collect()]
-    sent = docs.sparkSession.sparkContext.broadcast(trees[0] if trees else pickle.dumps(({}, frozenset())))
-
+    """(doc_id, subject, score) of every document and subject with any evidence. The trees of the rules are
+    made by tasks, and only their bytes pass through the driver, one tree at a time.
+
+    Rules that fit one tree are summed in one pass. Else every part of them gives its best for each sentence,
+    the best of all parts counts, and sums are in the order of the sentences: the same as with one tree."""
+    parts = max(1, -(-rules.count() // MOST_RULES))
+    packed = rules.groupBy(F.pmod(F.xxhash64("antecedent"), F.lit(parts)).alias("part")).applyInPandas(_packed, "tree binary")
+    sc = docs.sparkSession.sparkContext
+    trees = [sc.broadcast(bytes(r["tree"])) for r in packed.toLocalIterator()] or [sc.broadcast(pickle.dumps(({}, frozenset())))]
+    d = spread(docs.select("doc_id", "text").where("text is not null"))
+    if len(trees) == 1:
+        return d.select("doc_id", F.explode(_summed(trees[0])("text")).alias("e")).select("doc_id", "e.*")
+    # the place of a text in its partition tells apart texts that share an id
+    told = kept(d.withColumn("at", F.monotonically_increasing_id()), "texts")
+    every = [told.select("doc_id", "at", F.explode(_by_sentence(t)("text")).alias("e")).select("doc_id", "at", "e.*") for t in trees]
+    hits = every[0]
+    for x in every[1:]:
+        hits = hits.unionByName(x)
+    best = hits.groupBy("doc_id", "at", "subject", "no").agg(F.max("c").alias("c"))
+    said = best.groupBy("doc_id", "at", "subject").agg(F.array_sort(F.collect_list(F.struct("no", "c"))).alias("said"))
+    return said.select("doc_id", "subject", F.aggregate("said", F.lit(0.0), lambda x, y: x + y["c"]).alias("score"))
+
+
+def _summed(sent: Broadcast) -> Callable[[str], Column]:
     @F.pandas_udf("array<struct<subject:string,score:double>>")
     def run(s: pd.Series) -> pd.Series:
         r, v = _unpacked(sent.value)
         return s.map(lambda t: [{"subject": k, "score": x} for k, x in sorted(evidence(t, r, v).items())])
 
-    d = spread(docs.select("doc_id", "text").where("text is not null"))
-    return d.select("doc_id", F.explode(run("text")).alias("e")).select("doc_id", "e.*")
+    return run
+
+
+def _by_sentence(sent: Broadcast) -> Callable[[str], Column]:
+    @F.pandas_udf("array<struct<no:int,subject:string,c:double>>")
+    def run(s: pd.Series) -> pd.Series:
+        r, v = _unpacked(sent.value)
+        return s.map(lambda t: [{"no": no, "subject": k, "c": c} for no, k, c in surest(t, r, v)])
+
+    return run
 
 
 def isotonic(n: np.ndarray, k: np.ndarray) -> np.ndarray:

@@ -412,6 +412,15 @@ def test_pruned_rules_equal_those_compared_one_by_one(spark):
     assert {(tuple(r["antecedent"]), r["subject"]) for r in subjects.pruned(found).collect()} == want
 
 
+def test_more_rules_than_a_task_holds_give_the_same_scores(spark, monkeypatch):
+    docs, labels = _labelled(spark, 60)
+    docs = docs.union(spark.createDataFrame([(59, "sportaword. lawbword lawcword."), (61, None), (62, "")], docs.schema))  # an id that stands twice
+    got = lambda: sorted(map(tuple, subjects.assign(docs, labels)[1].collect()))
+    whole = got()
+    monkeypatch.setattr(subjects, "MOST_RULES", 7)
+    assert got() == whole and len({d for d, _, _ in whole}) == 60 and sum(d == 59 for d, _, _ in whole) > len({s for d, s, _ in whole if d == 59})
+
+
 def test_matching_rules_of_a_long_sentence():
     rules = {("a",): [("s", 0.5)], ("a", "c"): [("s", 0.9)], ("b", "x"): [("t", 0.8)]}
     words = frozenset(w for a in rules for w in a)
