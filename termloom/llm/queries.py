@@ -74,17 +74,24 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_normal(spark, d).select("table_name", "field", "row_id")
 
 
-def p5_units(spark: SparkSession, d: str) -> DataFrame:
-    """Every sentence unit with its position; passages decoded wrongly are left out."""
+def _units(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every sentence unit with its position, of the passages and of the sentences."""
     p, s = read(spark, d, "passages"), read(spark, d, "sentences")
-    wrong = _wrong(spark, d, "passages").withColumnRenamed("row_id", "passage_id")
     row = lambda df, table: df.select(F.lit(table).alias("table_name"), F.col(df.columns[0]).alias("row_id"), "start_pos", "unit")
-    of_p = sentences.sentences(p, "passage_id", "text").join(wrong, "passage_id", "left_anti")
-    return row(of_p, "passages").unionByName(row(sentences.sentences(s, "sent_id", "text"), "sentences"))
+    return row(sentences.sentences(p, "passage_id", "text"), "passages"), row(sentences.sentences(s, "sent_id", "text"), "sentences")
+
+
+def p5_units(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence unit of every text with its position, of texts decoded wrongly too."""
+    of_p, of_s = _units(spark, d)
+    return of_p.unionByName(of_s)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_units(spark, d).select("table_name", "row_id", "start_pos")
+    """Where the units start; by the query's definition without those of passages decoded wrongly."""
+    of_p, of_s = _units(spark, d)
+    found = of_p.join(_wrong(spark, d, "passages"), "row_id", "left_anti").unionByName(of_s)
+    return found.select("table_name", "row_id", "start_pos")
 
 
 def _corpus(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

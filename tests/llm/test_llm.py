@@ -221,6 +221,21 @@ def test_sentences_in_other_frames():
         assert [text[a:b] for a, b in sentences.split(text)] == parts
 
 
+def test_units_of_every_text(spark, tmp_path):
+    from termloom.llm import queries
+
+    passages = [(1, "Der Fuß schmerzt. Er ruht."), (2, "EntzÃ¼ndung der Leber. Er ruht."), (2, "EntzÃ¼ndung der Leber. Er ruht."), (3, "Entzündung der Leber."), (4, None), (5, " ")]
+    spark.createDataFrame(passages, "passage_id bigint, text string").write.parquet(f"{tmp_path}/passages.parquet")
+    spark.createDataFrame([(2, "EntzÃ¼ndung. So.")], "sent_id bigint, text string").write.parquet(f"{tmp_path}/sentences.parquet")
+    spark.createDataFrame([(1, "Leber", "leber")], "ord bigint, str string, norm string").write.parquet(f"{tmp_path}/cuisourceinfo.parquet")
+    spark.createDataFrame([("Leber",)], "preferred_name string").write.parquet(f"{tmp_path}/concepts.parquet")
+    of_s = [("sentences", 2, 0, "EntzÃ¼ndung."), ("sentences", 2, 13, "So.")]
+    clean = [("passages", 1, 0, "Der Fuß schmerzt."), ("passages", 1, 18, "Er ruht."), ("passages", 3, 0, "Entzündung der Leber.")]
+    wrong = [("passages", 2, 0, "EntzÃ¼ndung der Leber."), ("passages", 2, 23, "Er ruht.")]
+    assert sorted(map(tuple, queries.p5_units(spark, str(tmp_path)).collect())) == sorted(clean + wrong + of_s)
+    assert sorted(map(tuple, queries.p5_found(spark, str(tmp_path)).collect())) == sorted(x[:3] for x in clean + of_s)
+
+
 # --- 6
 
 
