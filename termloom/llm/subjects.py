@@ -113,12 +113,13 @@ def _grow(part: pd.DataFrame, support: int, confidence: float) -> pd.DataFrame:
 
 
 def pruned(found: DataFrame) -> DataFrame:
-    """Of rules (antecedent, subject, confidence, ...) those that no rule of fewer of their words makes needless."""
+    """Of rules (antecedent, subject, confidence, ...) those that no rule of fewer of their words makes needless.
+    The joins are merged, since Spark takes the exploded parts to be as few as the rules and would broadcast them."""
     subsets = F.expr("transform(sequence(1, cast(pow(2, size(antecedent)) as int) - 2), m -> filter(antecedent, (x, i) -> shiftright(m, i) % 2 = 1))")
     parts = found.where("size(antecedent) > 1").select("antecedent", "subject", F.explode(subsets).alias("part"))
     by = found.where(F.size("antecedent") < LONGEST).select(F.col("antecedent").alias("part"), "subject", F.col("confidence").alias("c"))
-    best = parts.join(by, ["part", "subject"]).groupBy("antecedent", "subject").agg(F.max("c").alias("shorter"))
-    return found.join(best, ["antecedent", "subject"], "left").where(F.col("shorter").isNull() | (F.col("confidence") > F.col("shorter") + SURER)).drop("shorter")
+    best = parts.join(by.hint("merge"), ["part", "subject"]).groupBy("antecedent", "subject").agg(F.max("c").alias("shorter"))
+    return found.join(best.hint("merge"), ["antecedent", "subject"], "left").where(F.col("shorter").isNull() | (F.col("confidence") > F.col("shorter") + SURER)).drop("shorter")
 
 
 _RULES = "antecedent array<string>, subject string, support int, confidence double"
@@ -141,8 +142,9 @@ def mine(texts: DataFrame, most_labels: int, support: int, confidence: float) ->
     held = sent.select("doc_id", "subjects", F.explode("words").alias("word")).distinct()
     total = held.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
     own = held.select("word", F.explode("subjects").alias("subject")).groupBy("word", "subject").agg(F.count(F.lit(1)).alias("k"))
-    keen = own.join(total, "word").join(base, "subject").where("k / n >= 1.5 * p and k / n >= 0.35").select("word", "n").distinct()
-    tokens = sent.select("doc_id", "no", "subjects", F.explode("words").alias("word")).join(keen, "word")
+    # an exploded table counts as no larger than what it came from, so Spark would broadcast it: these joins are merged
+    keen = own.join(total.hint("merge"), "word").join(base.hint("merge"), "subject").where("k / n >= 1.5 * p and k / n >= 0.35").select("word", "n").distinct()
+    tokens = sent.select("doc_id", "no", "subjects", F.explode("words").alias("word")).join(keen.hint("merge"), "word")
     # frequent words first, so that the groups of the frequent ones have little before them
     rank = F.struct((-F.col("n")).alias("r"), "word")
     baskets = tokens.groupBy("doc_id", "no").agg(F.transform(F.array_sort(F.collect_set(rank)), lambda x: x["word"]).alias("words"), F.first("subjects").alias("subjects"))

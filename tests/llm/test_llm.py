@@ -3,7 +3,7 @@
 import json
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, takewhile
 
 import pytest
 from pyspark.sql import functions as F
@@ -419,6 +419,20 @@ def test_rules_are_no_burden_of_the_driver(spark, monkeypatch):
     assert len({(tuple(r["antecedent"]), r["subject"]) for r in rules.collect()}) == rules.count()
 
 
+def test_exploded_tables_are_not_broadcast(spark, monkeypatch):
+    plans, kept = [], subjects.kept
+    monkeypatch.setattr(subjects, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df, name))
+    docs, labels = _labelled(spark, 60)
+    subjects.mine(docs.join(labels.select("doc_id", F.array("subject").alias("subjects")), "doc_id"), 1000, 3, 0.4)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for lines in map(str.splitlines, plans):
+        for k, line in enumerate(lines):
+            if "BroadcastExchange" in line:
+                below = "\n".join(takewhile(lambda x: depth(x) > depth(line), lines[k + 1 :]))
+                assert "Generate explode(words" not in below and "Generate explode(transform" not in below
+    assert sum("Generate explode(words" in p for p in plans) == 1 and sum("Generate explode(transform" in p for p in plans) == 1
+
+
 def test_pruned_rules_equal_those_compared_one_by_one(spark):
     rnd = random.Random(3)
     sure = {(p, s): rnd.randrange(40, 100) / 100 for k in (1, 2, 3) for p in combinations("abcdef", k) for s in "xy" if rnd.random() < 0.7}
